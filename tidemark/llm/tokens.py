@@ -29,7 +29,9 @@ from tidemark.llm.common import per_batch, texts
 
 SPACE_MARK = "▁"
 _RUNS = re.compile(rb" +[^ ]*")
-LONGEST_KEY = 64
+#: Longer segments aren't kept; longer texts are encoded whole, without the look-up: their segments may be huge.
+LONGEST_KEY, WHOLE_BYTES = 64, 4_000_000
+AT_ONCE = 64
 
 
 class SegmentLengths(dict):
@@ -54,26 +56,38 @@ class SegmentLengths(dict):
             and not spec.trainer_spec.treat_whitespace_as_suffix
             and not any(p.type == 4 or SPACE_MARK in p.piece.lstrip(SPACE_MARK) for p in spec.pieces)
         )
-        self.pieces = [p.piece for p in spec.pieces if p.type == 1]
+        self.pieces = {p.piece for p in spec.pieces if p.type == 1}
+        self.long: list[bytes] = []
         self.limit, self.frequent = limit + len(frequent), frequent
 
-    def __missing__(self, segment: bytes) -> int:
-        n = len(self.sp.encode(segment.decode(), num_threads=1)) if segment else len(self.sp.encode(" ")) - 1
-        if len(segment) <= LONGEST_KEY:
-            if len(self) >= self.limit:
-                self.clear()
-                self.update(self.frequent)
-            self[segment] = n
-        return n
-
-    def count(self, text: bytes | None) -> int:
-        if not text:
-            return 0
-        if not self.segments_hold or b"\xe2\x96\x81" in text:
-            return len(self.sp.encode(text.decode(), num_threads=1))
-        if b"  " in text or text[:1] == b" " or text[-1:] == b" ":
-            return sum(map(self.__getitem__, [m[1:] for m in _RUNS.findall(b" " + text)]))
-        return sum(map(self.__getitem__, text.split(b" ")))
+    def learn(self, segments: set[bytes]) -> None:
+        """Encodes the segments that aren't known in one call of the library."""
+        for x in self.long:
+            self.pop(x, None)
+        missing = [x for x in segments if x not in self]
+        if len(self) + len(missing) > self.limit:
+            self.clear()
+            self.update(self.frequent)
+            missing = list(segments)
+        self.long = [x for x in missing if len(x) > LONGEST_KEY]  # for this call only
+        self.update(zip(missing, map(len, self.sp.encode([x.decode() for x in missing], num_threads=1)), strict=True))
+        self[b""] = 1 if SPACE_MARK in self.pieces else len(SPACE_MARK.encode())  # a space alone
+
+    def count_all(self, batch: list[bytes | None]) -> list[int]:
+        """Token counts of some texts."""
+        parts: list[list[bytes] | int] = []
+        for text in batch:
+            if not text:
+                parts.append(0)
+            elif not self.segments_hold or b"\xe2\x96\x81" in text or len(text) > WHOLE_BYTES:
+                parts.append(len(self.sp.encode(text.decode(), num_threads=1)))
+            elif b"  " in text or text[:1] == b" " or text[-1:] == b" ":
+                parts.append([m[1:] for m in _RUNS.findall(b" " + text)])
+            else:
+                parts.append(text.split(b" "))
+        self.learn(set().union(*(x for x in parts if isinstance(x, list))))
+        get = self.__getitem__
+        return [x if isinstance(x, int) else sum(map(get, x)) for x in parts]
 
 
 def frequent_segments(docs: DataFrame, text: str, model_file: str, sample_rows: int, size: int) -> dict[bytes, int]:
@@ -87,7 +101,8 @@ def frequent_segments(docs: DataFrame, text: str, model_file: str, sample_rows:
             if len(seen) > 8 * size:
                 seen = Counter(dict(seen.most_common(4 * size)))
         table = SegmentLengths(model_file, {}, 1 << 20)
-        keys = [k for k, _ in seen.most_common(size) if k and len(k) <= LONGEST_KEY]
+        keys = [k for k, _ in seen.most_common(size)]
+        table.learn(set(keys))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([table[k] for k in keys], pa.int32())], ["k", "n"])
 
     rows = docs.select(F.col(text).alias("text")).limit(sample_rows).coalesce(1).mapInArrow(top, "k binary, n int").collect()
@@ -114,7 +129,7 @@ def count_tokens(
         def f(b: pa.RecordBatch) -> pa.RecordBatch:
             raw = b.column("text").cast(pa.binary())
             n_bytes = pc.fill_null(pc.binary_length(raw), 0).cast(pa.int64())
-            n = pa.array([table.count(t.as_py()) for t in raw], pa.int64())
+            n = pa.array([x for i in range(0, len(raw), AT_ONCE) for x in table.count_all(raw[i : i + AT_ONCE].to_pylist())], pa.int64())
             return pa.RecordBatch.from_arrays([b.column("doc_id"), n_bytes, n, pc.greater(n, limit_tokens)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
         return f
