@@ -240,7 +240,7 @@ def pack(
                 k = rank[rows] - p[at, 0]
                 seq[rows], off[rows] = p[at, 1] + k // p[at, 2], p[at, 3] + k % p[at, 2] * n
             yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in result[:5]] + [pa.array(seq), pa.array(off)] + [b.column("ids")] * with_ids, result
+                [b.column(c) for c in result[:5]] + [pa.array(seq), pa.array(off)] + [b.column(c) for c in result[7:]], result
             )
 
     result = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
