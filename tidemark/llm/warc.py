@@ -110,7 +110,7 @@ def write_warc(
                 if out is None:
                     fs, local = _fs(name)
                     fs.create_dir(local.rpartition("/")[0], recursive=True)
-                    out = fs.open_output_stream(local, buffer_size=CHUNK)
+                    out = fs.open_output_stream(local, compression=None, buffer_size=CHUNK)
                 out.write(member)
                 size += len(member)
         if out is not None:
