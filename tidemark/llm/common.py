@@ -70,8 +70,9 @@ def per_batch(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None:
-                yield out
+            for i in range(0, batch.num_rows, 1024):  # keeps what stands in Python's memory small
+                if (out := f(batch.slice(i, 1024))) is not None:
+                    yield out
 
     return run
 

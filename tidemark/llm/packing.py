@@ -24,6 +24,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,14 +54,9 @@ class ChunkIds(dict):
 
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
-        self.full = Tokenizer.from_file(file)
-        self.full.no_truncation()
-        self.full.no_padding()
-        self.limit = limit
+        self.file, self.limit = file, limit
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -75,6 +71,17 @@ class ChunkIds(dict):
                 self.pieces = regex.compile(_PIECES)
                 self.fast = tiktoken.Encoding("chunks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def full(self):  # noqa: ANN201
+        """The library's own tokenizer, loaded where it is needed first."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        full = Tokenizer.from_file(self.file)
+        full.no_truncation()
+        full.no_padding()
+        return full
+
     @staticmethod
     def _bytes(token: str) -> bytes:
         """A byte-level token as bytes, its end-of-word mark as _END."""
@@ -189,7 +196,7 @@ def pack(
     weights: tuple[float, float, float] = (1.0, 0.02, 0.02),
     score: str = "norm",
     with_ids: bool = False,
-    cache_size: int = 500_000,
+    cache_size: int = 120_000,
 ) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset [, ids].
 
@@ -201,9 +208,9 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, task, ranks = chunk_ids(tokenizer_file, cache_size), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for b in batches:
+        for few in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             rows: list[tuple] = []
-            for doc, t in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
+            for doc, t in zip(few.column("doc_id").to_pylist(), texts(few), strict=True):
                 ids = table.encode(t) + end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]

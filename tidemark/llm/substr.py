@@ -49,7 +49,7 @@ WORDS_AT_ONCE = 400_000
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 300_000:
             self.clear()
         h = xxhash.xxh64_intdigest(word, 7)
         if len(word) <= 64:
@@ -60,6 +60,10 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -133,7 +137,7 @@ class Bloom:
 
 def repeated_grams(src: DataFrame, window: int, gram: int, bloom_bits: int) -> Bloom:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             for part in minimizers([(t or b"").split() for t in texts(b)], window, gram):
                 h, n = np.unique(part[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
@@ -184,7 +188,7 @@ def passages(bloom: Broadcast, window: int, gram: int):
                 yield _batch(gone)
                 gone.clear()
 
-        for b in batches:
+        for b in few(batches):
             words = [(t or b"").split() for t in texts(b)]
             dks, uids = b.column("dk").to_pylist(), b.column("uid").to_pylist()
             for doc, lo, hi, h in minimizers(words, window, gram):
