@@ -176,3 +176,10 @@ def decontaminate(
         )
     )
     return out.drop("uid")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
+    """The documents in which no item window stands, with all their columns."""
+    found = decontaminate(docs, items, doc_id=doc_id, **options).where("n_hit > 0")
+    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")

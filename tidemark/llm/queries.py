@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, licenses, packing, simhash, substr, tokens, topk, warc
-from tidemark.llm.common import table
+from tidemark.llm import decontam, langid, licenses, packing, quality, simhash, substr, tokens, topk, warc
+from tidemark.llm.common import held_out, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(50)) == 0, k=5, scale=256.0)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"), learn=~held_out())
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -53,7 +58,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_token_counts, op3_license_scan, op4_best_fit_packing, op5_substring_dedup, op6_warc, op7_exact_topk, op9_decontamination)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _ = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out(), threshold=0.7)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup, op2_token_counts, op3_license_scan, op4_best_fit_packing, op5_substring_dedup, op6_warc, op7_exact_topk, op8_language_id, op9_decontamination, op10_quality,
+    )
+}
 
 _WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
 
