@@ -3,14 +3,14 @@
 The reference is the corpus itself, so an automaton of all of it can't be broadcast under any bound.
 Reference shards are cut by content instead, and automaton and passages meet in one task:
 
-1. A window of 20 words selects its minimizer, the smallest hash of its 8-word grams
+1. A window of 20 words selects its minimizer, the smallest hash of its 4-word grams
    (the first of equals).  Equal windows select equal grams at equal places.  Gram
    hashes are counted, pre-aggregated by batch and task.
 2. The hashes that occur more than once go into a Bloom filter of at most
    ``bloom_bits`` bits, the only thing that is broadcast.  A full filter
    only lets more passages through; results don't depend on it.
 3. Documents are streamed again.  The consecutive windows of one minimizer that
-   may be repeated form a passage (20 to 32 words) and go to the task of that minimizer.  Equal passages meet within the map task
+   may be repeated form a passage (20 to 36 words) and go to the task of that minimizer.  Equal passages meet within the map task
    first: all but the earliest are removed there, so that a task sends each passage once, however often it stands there.
 4. For each minimizer a suffix automaton of its distinct passages is built (the shard), and
    the passages are streamed through it.  The state of each place's longest match,
@@ -206,7 +206,11 @@ def passages(bloom: Broadcast, window: int, gram: int):
                         continue
                     if new < old:
                         held[p], new = new, old
-                    gone.append((new[2], None, new[0], new[2], new[1], new[3] + window - 1))
+                    to = new[3] + window - 1
+                    if gone and gone[-1][1] is None and gone[-1][2:4] == (new[0], new[2]) and gone[-1][4] <= new[1] <= gone[-1][5] + 1:
+                        gone[-1] = (*gone[-1][:5], max(to, gone[-1][5]))  # spans of one document in a row are one span
+                    else:
+                        gone.append((new[2], None, new[0], new[2], new[1], to))
                 if len(held) > FLUSH or len(gone) > FLUSH:
                     yield from flush(len(held) > FLUSH)
         yield from flush(True)
@@ -308,7 +312,7 @@ def _with_spans(docs: DataFrame, doc_id: str, text: str, window: int, gram: int,
     return src.join(spans, ["dk", "uid"], "left")
 
 
-def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 20, gram: int = 8, bloom_bits: int = 1 << 29) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 20, gram: int = 4, bloom_bits: int = 1 << 29) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row a document."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +330,7 @@ def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return joined.select("text", "spans", "_0").mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup_text(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 20, gram: int = 8, bloom_bits: int = 1 << 29) -> DataFrame:
+def dedup_text(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 20, gram: int = 4, bloom_bits: int = 1 << 29) -> DataFrame:
     """The documents with their removed words cut; a text that loses nothing stays as it is, one that loses all goes."""
     names = docs.columns
 
