@@ -81,16 +81,16 @@ def erfc(x: Column) -> Column:
     """Complementary error function to about 1e-15: a series near 0 and a continued fraction beyond, both unrolled."""
     a = F.abs(x)
     s = a * a
-    term, total = F.lit(1.0), F.lit(1.0)
-    # erf(a) = 2/sqrt(pi) * a * exp(-a^2) * sum (2 a^2)^n / (2n+1)!!, by Horner from the end
     total = F.lit(1.0)
+    # erf(a) = 2/sqrt(pi) * a * exp(-a^2) * sum (2 a^2)^n / (2n+1)!!, by Horner from the end
     for n in range(60, 0, -1):
         total = F.lit(1.0) + total * s * F.lit(2.0 / (2 * n + 1))
     near = 1.0 - F.lit(2.0 / math.sqrt(math.pi)) * a * F.exp(-s) * total
-    term = a
+    beyond = F.greatest(a, F.lit(1.0))  # every denominator is positive
+    term = beyond
     for n in range(60, 0, -1):
-        term = a + F.lit(n / 2.0) / F.when(term != 0, term)
-    far = F.exp(-s) / F.lit(math.sqrt(math.pi)) / F.when(term != 0, term)
+        term = beyond + F.lit(n / 2.0) / term
+    far = F.exp(-s) / F.lit(math.sqrt(math.pi)) / term
     tail = F.when(a < 2.5, near).otherwise(far)
     return F.when(F.isnan(x), x).when(x < 0, 2.0 - tail).otherwise(tail)
 
