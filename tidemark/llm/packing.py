@@ -23,6 +23,7 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -56,7 +57,8 @@ class ChunkIds(dict):
         import tiktoken
 
         super().__init__()
-        self.file, self.limit = file, limit
+        self.file, self.limit = file, limit // 2
+        self.older: dict[bytes, bytes] = {}
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -94,20 +96,37 @@ class ChunkIds(dict):
         return bytes(table[c] for c in (token[:-4] if word else token)) + (_END if word else b"")
 
     def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if self.fast is None or not _LATIN.fullmatch(text) or any(s in text for s in self.special):
-            ids = self.full.encode(text, add_special_tokens=False).ids
-        else:
-            if not text.isascii():
-                text = unicodedata.normalize("NFC", text)
-            ids = [i for p in self.pieces.findall(text.lower()) for i in self.fast._core_bpe.encode_single_piece(p.encode() + _END)]
-        out = np.array(ids, "<u4").tobytes()
+        out = self.older.pop(chunk, None)
+        if out is None:
+            out = self._ids(chunk)
         if len(chunk) <= 64:
-            if len(self) >= self.limit:
+            if len(self) >= self.limit:  # frequent chunks come back from the older half
+                self.older = dict(self)
                 self.clear()
             self[chunk] = out
         return out
 
+    def _ids(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if self.fast is None or not _LATIN.fullmatch(text):
+            return self._full(text)
+        small = text.lower()
+        if text.isalpha():
+            return self._piece(text if text.isascii() else unicodedata.normalize("NFC", text))
+        if text[:-1].isalpha() and text[-1] in ".,;:!?":
+            return self[small[:-1].encode()] + self[text[-1].encode()]
+        if any(s in text for s in self.special):
+            return self._full(text)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        return b"".join(map(self._piece, self.pieces.findall(text.lower())))
+
+    def _full(self, text: str) -> bytes:
+        return array("I", self.full.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", self.fast._core_bpe.encode_single_piece(piece.lower().encode() + _END)).tobytes()
+
     def encode(self, text: bytes | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or b"").split()))
 
@@ -196,7 +215,7 @@ def pack(
     weights: tuple[float, float, float] = (1.0, 0.02, 0.02),
     score: str = "norm",
     with_ids: bool = False,
-    cache_size: int = 120_000,
+    cache_size: int = 240_000,
 ) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset [, ids].
 
