@@ -86,10 +86,10 @@ class RuleEnsemble:
     rules: tuple[tuple[Rule, float], ...]
 
     def column(self) -> Column:
-        total = F.lit(self.bias)
-        for rule, weight in self.rules:
-            total = total + F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+        terms = [F.lit(self.bias)] + [F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0)) for rule, weight in self.rules]
+        while len(terms) > 1:  # a balanced tree, so that the expression stays shallow
+            terms = [a + b for a, b in zip(terms[::2], terms[1::2], strict=False)] + terms[len(terms) & ~1 :]
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-terms[0]))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.bias)
