@@ -62,7 +62,7 @@ def _extreme(largest: bool, at: bool) -> Callable[..., Result]:
         head = o(F.min_by(x, p))
         rest = F.when(~F.isnan(x), x)
         if at:
-            key = F.when(~F.isnan(x), F.struct((-x if largest else x).alias("v"), pos.alias("p")))
+            key = F.when(x.isNotNull() & ~F.isnan(x), F.struct((-x if largest else x).alias("v"), pos.alias("p")))
             best, first = o(F.min(key))["p"].cast("double"), o(F.min(p)).cast("double")
             value = F.when(F.isnan(head), F.lit(0.0)).otherwise(best - first)
         else:

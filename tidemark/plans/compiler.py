@@ -143,8 +143,8 @@ class Plan:
     def _status_of(self, args: list[Value]) -> list[Column]:
         return [a.status for a in args if a.status is not None]
 
-    def _guard(self, value: Column, failed: Column | None, error: str, args: list[Value], scalar: bool, dtype: str = "double") -> tuple[Column, Column | None]:
-        if self.policy == "raise":
+    def _guard(self, value: Column, failed: Column | None, error: str, args: list[Value], scalar: bool, dtype: str = "double", policy: str | None = None) -> tuple[Column, Column | None]:
+        if (policy or self.policy) == "raise":
             return (value if failed is None else F.when(failed, F.raise_error(F.lit(error or "NUMERIC_FAILURE"))).otherwise(value)), None
         codes = self._status_of(args)
         if failed is not None:
@@ -165,12 +165,13 @@ class Plan:
             dtype = args[1].dtype
         if kind == SCALAR and any(a.reduction is not None for a in _deep(args)):
             v = Value(SCALAR, None, self._level(args), parents=tuple(args), dtype=dtype)
+            policy = self.policy
 
             def build(read: Callable[[Value], tuple[Column, Column | None]]) -> tuple:
                 got = [read(a) for a in args]
                 value, failed, error = ELEMENTWISE[name](*[c for c, _ in got])
                 shown = [Value(SCALAR, c, status=s) for c, s in got]
-                return self._guard(value, failed, error, shown, True, dtype)
+                return self._guard(value, failed, error, shown, True, dtype, policy)
 
             v.reduction = build
             v.name = "scalar"
@@ -211,7 +212,8 @@ class Plan:
         return Window.partitionBy(*self.frame.keys, *self.frame_keys)
 
     def _reduction(self, name: str, args: list[Value]) -> Value:
-        return self._reduce(lambda o: REDUCTIONS[name](self._pos(), o, *[self._read_series(a) for a in args]), args)
+        pos = self._pos()
+        return self._reduce(lambda o: REDUCTIONS[name](pos, o, *[self._read_series(a) for a in args]), args)
 
     def _pos(self) -> Column:
         return F.col(getattr(self, "pos_name", POS))
@@ -221,9 +223,11 @@ class Plan:
         for a in inner:
             self._read_series(a)
 
+        policy = self.policy
+
         def build(o: Callable[[Column], Column]) -> tuple[Column, Column | None]:
             value, failed, error = form(o)
-            if self.policy == "raise":
+            if policy == "raise":
                 return (value if failed is None else F.when(failed, F.raise_error(F.lit(error))).otherwise(value)), None
             codes = [F.coalesce(o(F.max(s)), F.lit(0)) for s in self._status_of(inner)]
             bad = ~finite(value) | value.isNull() if dtype == "double" else F.lit(False)
@@ -377,8 +381,8 @@ class Plan:
     # -- records ---------------------------------------------------------------
 
     def _op_linear_fit(self, x, y=None):
-        args = [x] if y is None else [x, y]
-        fields = {k: self._reduce(lambda o, f=f: f(self._pos(), o, *[self._read_series(a) for a in args]), args) for k, f in FIT.items()}
+        args, pos = [x] if y is None else [x, y], self._pos()
+        fields = {k: self._reduce(lambda o, f=f: f(pos, o, *[self._read_series(a) for a in args]), args) for k, f in FIT.items()}
         return Value(RECORD, fields=fields)
 
     def _op_last_drawdown_interval(self, dd):
@@ -499,12 +503,16 @@ class Plan:
         finally:
             self.frame_mask, self.mask_level, self.pos_name, self.policy = old
         some = self._reduce(lambda o: (o(F.count(F.when(c, 1))).cast("double"), None, ""), [m])
+        if v.status is None and v.column is not None:
+            v.status = F.lit(0)
         fallback = F.lit(self._literal(self.node(default), "filter_apply")) if default else nan()
         out = Value(SCALAR, None, 0, parents=(v, some))
 
         def build(read: Callable) -> tuple:
             (x, s), (n, _) = read(v), read(some)
-            return F.when(n > 0, x).otherwise(fallback), (F.when(n > 0, s).otherwise(0) if s is not None and old[3] == "isolate" else None)
+            if old[3] == "isolate":
+                return F.when(n > 0, x).otherwise(fallback), F.when(n > 0, s).otherwise(0)
+            return F.when(n <= 0, fallback).when(s != 0, F.raise_error(F.lit("NUMERIC_FAILURE"))).otherwise(x), None
 
         out.reduction, out.name = build, "scalar"
         return out
