@@ -98,11 +98,12 @@ def decontaminate(
     windows = _item_windows(items, item_id, item_text, window).cache()
     lengths = {r[0]: r[1] for r in windows.groupBy(F.size("win").alias("n")).count().collect()}
     sizes = sorted({min(shingle, n) for n in lengths}) or [shingle]
-    base = with_words(
-        docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("_doc"), F.col(text).alias("_text")),
-        "_text",
-        "words",
-    ).withColumn("n", F.size("words"))
+    n_keys = sum(c * (n - min(shingle, n) + 1) for n, c in lengths.items())
+    slices = max(1, -(-n_keys // slice_rows))
+    src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+    if slices > 1:  # row numbers that several passes share
+        src, _ = materialize(src, "documents")
+    base = with_words(src, "_text", "words").withColumn("n", F.size("words"))
 
     def shingles_of() -> DataFrame:
         parts = []
@@ -112,8 +113,6 @@ def decontaminate(
         return reduce(DataFrame.union, parts)
 
     # rarity of every item shingle over all documents
-    n_keys = sum(c * (n - min(shingle, n) + 1) for n, c in lengths.items())
-    slices = max(1, -(-n_keys // slice_rows))
     rarity = None
     if n_keys:
         all_keys = shingles_of().select("key").distinct()
@@ -182,4 +181,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_i
     """The documents in which no item window stands, with all their columns."""
     found = decontaminate(docs, items, doc_id=doc_id, **options).where("n_hit > 0")
     gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")

@@ -126,7 +126,7 @@ def identify(
     lang: str = "lang",
     learn: Column | None = None,
     per_lang: int = 400,
-    buckets: int = 4096,
+    buckets: int = 8192,
     max_distance: float = 0.95,
     keep: list[str] | None = None,
 ) -> DataFrame:

@@ -238,4 +238,4 @@ def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFra
     """The documents without those that a smaller id of their group stands for."""
     near = near_duplicates(docs, doc_id=doc_id, **options)
     gone = near.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")

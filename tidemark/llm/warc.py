@@ -14,7 +14,7 @@ the last may end beyond.  From the first valid start on, members follow one anot
 Corrupt members are skipped to the next valid start.
 
 Defined cases: null payloads and urls are empty; null keys write an empty key, read back as null, and
-count as smaller than any other; of rows with equal payload and key one is the response;
+count as smaller than any other; rows with equal payloads and equal largest keys are all responses;
 an empty table writes no archive and reads to no rows; other columns are ignored.
 """
 
@@ -85,21 +85,20 @@ def write_warc(
     src = pages.select(
         F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("body")
     ).withColumn("sha", F.unhex(F.sha1("body")))
-    src = src.withColumn("uid", F.monotonically_increasing_id())
     repeated = (
         src.where(F.octet_length("body") >= min_revisit_bytes)
         .groupBy("sha")
-        .agg(F.count("*").alias("n"), F.max(F.struct(F.col("key").isNotNull().alias("has"), F.col("key").alias("k"), F.col("uid").alias("u"))).alias("top"))
+        .agg(F.count("*").alias("n"), F.max("key").alias("top_key"))
         .where("n > 1")
-        .select("sha", F.col("top.k").alias("top_key"), F.col("top.u").alias("top_uid"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        .select("sha", "top_key", F.lit(True).alias("again"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
     repeated, _ = materialize(repeated, "repeated")
-    decided = src.withColumn("salt", F.pmod(F.col("uid"), F.lit(SALTS)).cast("int")).join(repeated, ["sha", "salt"], "left")
+    decided = src.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int")).join(repeated, ["sha", "salt"], "left")
     rows = decided.select(
         F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"),
         "url",
         "body",
-        F.when(F.col("top_uid") != F.col("uid"), F.coalesce(F.col("top_key").cast("string"), F.lit(""))).alias("refers"),
+        F.when(F.col("again") & ~F.col("key").eqNullSafe(F.col("top_key")), F.coalesce(F.col("top_key").cast("string"), F.lit(""))).alias("refers"),
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
