@@ -254,7 +254,7 @@ def test_substring_dedup_equals_brute_force(spark, corpus, small, monkeypatch):
     if small:
         monkeypatch.setattr(substr, "FLUSH", 5)
         monkeypatch.setattr(substr, "WORDS_AT_ONCE", 50)
-    got = substr.substring_dedup(table(spark, rows).repartition(4), bloom_bits=1 << (8 if small else 20)).collect()
+    got = substr.substring_dedup(table(spark, rows).repartition(4), bloom_bits=1 << (8 if small else 20), hot=3 if small else 2000).collect()
     want = sorted((i, hashlib.sha256(" ".join(w).encode()).hexdigest()) for (i, _), w in plain_dedup(rows, 20).items())
     assert sorted((r.doc_id, r.kept_sha256) for r in got) == want
     kept = {i: w for (i, _), w in plain_dedup(rows, 20).items()}

@@ -7,11 +7,13 @@ Reference shards are cut by content instead, and automaton and passages meet in
    (the first of equals).  Equal windows select equal grams at equal places.  Gram
    hashes are counted, pre-aggregated by batch and task.
 2. The hashes that occur more than once go into a Bloom filter of at most
-   ``bloom_bits`` bits, the only thing that is broadcast.  A full filter
+   ``bloom_bits`` bits; such filters are the only thing that is broadcast.  A full filter
    only lets more passages through; results don't depend on it.
 3. Documents are streamed again.  The consecutive windows of one minimizer that
    may be repeated form a passage (20 to 36 words) and go to the task of that minimizer.  Equal passages meet within the map task
    first: all but the earliest are removed there, so that a task sends each passage once, however often it stands there.
+   A minimizer that occurs over ``hot`` times (a second filter) is split: its windows go one by one, each under its own
+   hash, so that a passage in a third of all documents, in however many variants, is spread over tasks.
 4. For each minimizer a suffix automaton of its distinct passages is built (the shard), and
    the passages are streamed through it.  The state of each place's longest match,
    cut to 20 words, names the window exactly; the earliest start of each state stays, later ones are removed.
@@ -135,16 +137,9 @@ class Bloom:
         return out
 
 
-def repeated_grams(src: DataFrame, window: int, gram: int, bloom_bits: int) -> Bloom:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in few(batches):
-            for part in minimizers([(t or b"").split() for t in texts(b)], window, gram):
-                h, n = np.unique(part[3], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
-
-    counted = src.select("text").mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    counted, _ = materialize(counted, "grams")
-    n = counted.count()
+def bloom_of(hashes: DataFrame, bloom_bits: int) -> Bloom:
+    """A filter of the column h; its slices are built apart and only they come to the driver."""
+    n = hashes.count()
     slice_bits = 1 << max(13, min(bloom_bits // SLICES, 16 * n // SLICES + 1).bit_length() - 1)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +154,24 @@ def repeated_grams(src: DataFrame, window: int, gram: int, bloom_bits: int) -> B
         for i, bits in own.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["i", "bits"])
 
-    by_slice = counted.repartition(min(SLICES, max(1, n // 500_000)), F.shiftrightunsigned("h", 58))
+    by_slice = hashes.repartition(min(SLICES, max(1, n // 500_000)), F.shiftrightunsigned("h", 58))
     return Bloom({r.i: bytes(r.bits) for r in by_slice.mapInArrow(build, "i int, bits binary").toLocalIterator()}, slice_bits)
 
 
+def repeated_grams(src: DataFrame, window: int, gram: int, bloom_bits: int, hot: int) -> tuple[Bloom, Bloom]:
+    """Filters of the minimizers that occur more than once, and more than ``hot`` times."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in few(batches):
+            for part in minimizers([(t or b"").split() for t in texts(b)], window, gram):
+                h, n = np.unique(part[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
+
+    counted = src.select("text").mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    counted, _ = materialize(counted, "grams")
+    return bloom_of(counted.select("h"), bloom_bits), bloom_of(counted.where(F.col("n") > hot).select("h"), bloom_bits)
+
+
 SPAN = "key long, passage binary, dk long, uid long, lo int, hi int"
 
 
@@ -177,6 +186,19 @@ def passages(bloom: Broadcast, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, tuple[int, int, int, int, int]] = {}
         gone: list[tuple] = []
+        repeated, hot = bloom.value
+
+        def candidates(words, doc, lo, hi, h):  # noqa: ANN001, ANN202
+            """(document, first window, last window, key, words): passages, or single windows of a hot minimizer."""
+            may = repeated.holds(h)
+            doc, lo, hi, h = doc[may], lo[may], hi[may], h[may]
+            for i, first, last, key, many in zip(doc.tolist(), lo.tolist(), hi.tolist(), h.view(np.int64).tolist(), hot.holds(h).tolist(), strict=True):
+                if not many:
+                    yield i, first, last, key, b" ".join(words[i][first : last + window])
+                    continue
+                for at in range(first, last + 1):
+                    p = b" ".join(words[i][at : at + window])
+                    yield i, at, at, xxhash.xxh64_intdigest(p, 11) - (1 << 63), p
 
         def flush(everything: bool) -> Iterator[pa.RecordBatch]:
             if everything:
@@ -192,10 +214,7 @@ def passages(bloom: Broadcast, window: int, gram: int):
             words = [(t or b"").split() for t in texts(b)]
             dks, uids = b.column("dk").to_pylist(), b.column("uid").to_pylist()
             for doc, lo, hi, h in minimizers(words, window, gram):
-                may = bloom.value.holds(h)
-                keys = h[may].view(np.int64).tolist()
-                for i, first, last, key in zip(doc[may].tolist(), lo[may].tolist(), hi[may].tolist(), keys, strict=True):
-                    p = b" ".join(words[i][first : last + window])
+                for i, first, last, key, p in candidates(words, doc, lo, hi, h):
                     new, old = (dks[i], first, uids[i], last, key), held.get(p)
                     if old is None:
                         held[p] = new
@@ -256,9 +275,9 @@ def judge(rows: list[tuple[bytes, int, int, int, int]], window: int) -> list[tup
     return out
 
 
-def removed_spans(src: DataFrame, window: int, gram: int, bloom_bits: int) -> DataFrame:
+def removed_spans(src: DataFrame, window: int, gram: int, bloom_bits: int, hot: int) -> DataFrame:
     """dk, uid, lo, hi: spans of words to remove; src has dk, uid and text."""
-    bloom = src.sparkSession.sparkContext.broadcast(repeated_grams(src, window, gram, bloom_bits))
+    bloom = src.sparkSession.sparkContext.broadcast(repeated_grams(src, window, gram, bloom_bits, hot))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, run, out = None, [], []
@@ -302,17 +321,17 @@ def kept_words(text: bytes | None, spans: list[dict] | None) -> tuple[list[bytes
     return [words[i] for i in np.flatnonzero(keep)], len(words)
 
 
-def _with_spans(docs: DataFrame, doc_id: str, text: str, window: int, gram: int, bloom_bits: int, columns: list[str]) -> DataFrame:
+def _with_spans(docs: DataFrame, doc_id: str, text: str, window: int, gram: int, bloom_bits: int, hot: int, columns: list[str]) -> DataFrame:
     """text, spans and the wanted columns (under the names _0, _1, ...)."""
     src = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("dk"), F.xxhash64(doc_id, text).alias("uid"), F.col(text).alias("text"),
         *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)],
     )
-    spans = removed_spans(src, window, gram, bloom_bits).groupBy("dk", "uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = removed_spans(src, window, gram, bloom_bits, hot).groupBy("dk", "uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return src.join(spans, ["dk", "uid"], "left")
 
 
-def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 20, gram: int = 4, bloom_bits: int = 1 << 29) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 20, gram: int = 4, bloom_bits: int = 1 << 29, hot: int = 2000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: one row a document."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,11 +345,11 @@ def substring_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                     [b.column("_0").cast(pa.int64()), *(pa.array(c) for c in zip(*rows, strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256"]
                 )
 
-    joined = _with_spans(docs, doc_id, text, window, gram, bloom_bits, [doc_id])
+    joined = _with_spans(docs, doc_id, text, window, gram, bloom_bits, hot, [doc_id])
     return joined.select("text", "spans", "_0").mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup_text(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 20, gram: int = 4, bloom_bits: int = 1 << 29) -> DataFrame:
+def dedup_text(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = 20, gram: int = 4, bloom_bits: int = 1 << 29, hot: int = 2000) -> DataFrame:
     """The documents with their removed words cut; a text that loses nothing stays as it is, one that loses all goes."""
     names = docs.columns
 
@@ -338,6 +357,6 @@ def dedup_text(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
     def cut(t, spans):  # noqa: ANN001, ANN202
         return type(t)([x if s is None else b" ".join(kept_words(x.encode(), list(s))[0]).decode() for x, s in zip(t, spans, strict=True)])
 
-    joined = _with_spans(docs, doc_id, text, window, gram, bloom_bits, names)
+    joined = _with_spans(docs, doc_id, text, window, gram, bloom_bits, hot, names)
     new = joined.withColumn("new", cut("text", "spans")).where("spans IS NULL OR new <> ''")
     return new.select(*[F.col("new" if c == text else f"_{i}").alias(c) for i, c in enumerate(names)])
