@@ -82,3 +82,29 @@ def test_block_and_empty(spark, frame):
     assert [r.m for r in block_apply(frame, {"m": "mean(x)"}, 2).where("p = 1").orderBy("pos").collect()] == [2.0, 3.0]
     empty = IntervalFrame(frame.data.where("false"), ("p",))
     assert evaluate(empty, {"m": "mean(x)", "d": "drawdown_series(x)"}).count() == 0
+
+
+def test_minimum_observations_and_bindings(frame):
+    got = one(evaluate(frame, {"r": "2 * b"}, error_policy="isolate", bindings={"a": "mean(x)", "b": "a + 1"}, minimum_observations=3))
+    assert (got[1].r, got[1].r_status, got[2].r_status) == (7.0, 0, 1) and got[2].r != got[2].r
+    with pytest.raises(Exception, match="INSUFFICIENT_OBSERVATIONS"):
+        evaluate(frame, "first(x)", minimum_observations=3).collect()
+    with pytest.raises(ExpressionError):
+        evaluate(frame, "a", bindings={"a": "a + 1"})
+
+
+def test_tail_is_one_shorter(frame):
+    assert one(evaluate(frame, {"n": "length(interval_tail(x))", "s": "sum(interval_tail(x) - lag(x))"}))[1].asDict() == {"p": 1, "n": 3.0, "s": 3.0}
+
+
+def test_every_operator_is_there(spark, frame):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import registry
+
+    assert registry.missing() == []
+    assert frame.data.where("p = 1").select(registry.call("mul", F.col("x"), F.lit(2.0)).alias("y")).agg(F.sum("y")).first()[0] == 20.0
+    m = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0)], "i long, j long, v double")
+    assert registry.call("trace", m).first().v == 1.0
+    with pytest.raises(TypeError):
+        registry.call("lag", F.col("x"))

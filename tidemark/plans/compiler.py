@@ -24,8 +24,9 @@ from pyspark.sql.types import StructType
 from tidemark.functions.catalog import ALIASES, CATALOG
 from tidemark.functions.reduce import FIT, REDUCTIONS
 from tidemark.functions.scalar import BOOLEAN, ELEMENTWISE, finite, nan
-from tidemark.operators.kernels import KERNELS, phase_direction, drawdown_cycle_reference
+from tidemark.operators.kernels import KERNELS, drawdown_cycle_reference, phase_direction
 from tidemark.plans.expr import Call, ExpressionError, Name, Node, Number, parse
+from tidemark.plans.expr import names as names_of
 from tidemark.plans.frame import POS, IntervalFrame
 
 SCALAR, SERIES, RECORD, WINDOW = "scalar", "series", "record", "window"
@@ -60,7 +61,7 @@ class Value:
 class Plan:
     """A compiled set of roots over a frame."""
 
-    def __init__(self, frame: IntervalFrame, fields: set[str], parameters: dict[str, float] | None = None, error_policy: str = "raise", dates: str | None = None) -> None:
+    def __init__(self, frame: IntervalFrame, fields: set[str], parameters: dict[str, float] | None = None, error_policy: str = "raise") -> None:
         if error_policy not in ("raise", "isolate"):
             raise ValueError("error_policy is raise or isolate")
         self.frame, self.fields, self.policy = frame, fields, error_policy
@@ -68,6 +69,7 @@ class Plan:
         self.stages: dict[int, list[tuple[str, Callable[[], Column]]]] = {}
         self.kernels: dict[int, list[tuple[list[str], list[Value], Callable, tuple[str, ...]]]] = {}
         self.locals: dict[str, Value] = {}
+        self.bindings: dict[str, Node] = {}
         self.frame_mask: Column | None = None
         self.frame_rows: tuple[int, int] | None = None
         self.frame_keys: tuple[str, ...] = ()
@@ -91,6 +93,8 @@ class Plan:
         if isinstance(tree, Name):
             if tree.name in self.locals:
                 return self.locals[tree.name]
+            if tree.name in self.bindings:
+                return self.node(self.bindings[tree.name])
             if tree.name in self.fields:
                 c = F.col(tree.name)
                 masked = c if self.frame_mask is None else F.when(self.frame_mask, c)
@@ -443,29 +447,52 @@ class Plan:
         f, ddof = forms[name]
         return self._rolling(f, x, w, m, ddof)
 
-    def _rolling_apply(self, body: Node, window: Node, least: Node | None = None) -> Value:
-        """Trailing windows of reductions; without ``least`` only full windows of finite rows, else at least so many jointly finite rows."""
+    def _rolling_apply(self, body: Node, window: Node, *rest: Node) -> Value:
+        """Trailing windows of reductions: (body, width[, least]) or (body, width, dates, annual[, least]).
+
+        Without ``least`` only full windows of finite rows count, else at least so many jointly finite rows.  With dates the
+        body may name observation_count (rows less one, or rows if it reads a field whose name begins with
+        ``return``), window_elapsed_days and risk_free_return_window.
+        """
         w = int(self._literal(self.node(window), "rolling_apply"))
+        dated = len(rest) >= 2
+        least = rest[2] if len(rest) == 3 else rest[0] if len(rest) == 1 else None
         m = int(self._literal(self.node(least), "rolling_apply")) if least else None
         used = [self.node(Name(n)) for n in sorted(_names(body) & self.fields)]
+        frame = self.frame.ordered().rowsBetween(1 - w, 0)
+        names: dict[str, Value] = {}
+        if dated:
+            dates, annual = self.node(rest[0]), self._literal(self.node(rest[1]), "rolling_apply")
+            d = self._read_series(dates)
+            elapsed = self._stage(F.last(d).over(frame) - F.first(d).over(frame), dates.level + 1)
+            rows = self._stage(F.count(F.lit(1)).over(frame).cast("double"), dates.level + 1)
+            returns = any(n.startswith("return") for n in _names(body) & self.fields)
+            growth = F.pow(F.lit(max(0.0, 1.0 + annual)), elapsed / 365.0) - 1.0
+            for name, column in (("observation_count", rows if returns else rows - 1.0), ("window_elapsed_days", elapsed), ("risk_free_return_window", growth)):
+                names[name] = Value(SERIES, column, dates.level + 1)
         before, self.frame_rows, policy = self.frame_rows, (1 - w, 0), self.policy
+        outer, self.locals = self.locals, {**self.locals, **names}
         self.policy = "isolate"
         try:
             v = self.node(body)
         finally:
-            self.frame_rows, self.policy = before, policy
+            self.frame_rows, self.policy, self.locals = before, policy, outer
         if v.kind != SERIES:
             raise ExpressionError("the body of rolling_apply must reduce")
         joint = F.lit(True)
         for u in used:
             joint = joint & finite(self._read_series(u).cast("double"))
-        frame = self.frame.ordered().rowsBetween(1 - w, 0)
         n, rows = F.count(F.when(joint, 1)).over(frame), F.count(F.lit(1)).over(frame)
         enough = (n >= m) if m is not None else ((n == w) & (rows == w))
         gate = self._stage(enough, self._level(used) + 1)
         column = F.when(gate & finite(v.column), v.column).otherwise(nan())
         return Value(SERIES, column, max(v.level, self._level(used) + 1), parents=(v,))
 
+    def _interval_tail(self, x: Node) -> Value:
+        """The series without its first row."""
+        v = self.node(x)
+        return self._window(lambda c, p, w: (F.lead(c[0], 1).over(self.frame.ordered()), None, ""), [v], v.dtype, v.drop + 1)
+
     def _group_apply(self, body: Node, key: Node) -> Value:
         k = self.node(key)
         c = self._read_series(k)
@@ -668,7 +695,7 @@ class Plan:
         return self._staged().select(*self.frame.keys, POS, *columns)
 
 
-_SCOPES = {"rolling_window", "rolling_apply", "group_apply", "filter_apply", "bisect", "iterate", "iteration_status", "iteration_count", "iteration_residual"}
+_SCOPES = {"interval_tail", "rolling_window", "rolling_apply", "group_apply", "filter_apply", "bisect", "iterate", "iteration_status", "iteration_count", "iteration_residual"}
 _FIELD_OPS = {
     "interval_start": "start", "interval_trough": "trough", "interval_recovery": "recovery",
     "fit_slope": "slope", "fit_intercept": "intercept", "fit_residual_sum_squares": "rss", "fit_total_sum_squares": "tss", "fit_observation_count": "n",
@@ -680,10 +707,7 @@ for _op, _field in _FIELD_OPS.items():
     setattr(Plan, "_op_" + _op, lambda self, record, f=_field: record.fields[f])
 
 
-def _names(node: Node) -> set[str]:
-    from tidemark.plans.expr import names
-
-    return names(node)
+_names = names_of
 
 
 def _deep(values: list[Value]) -> list[Value]:
@@ -708,10 +732,14 @@ def evaluate(
     expressions: str | list[str] | dict[str, str],
     parameters: dict[str, float] | None = None,
     error_policy: str = "raise",
+    bindings: dict[str, str] | None = None,
+    minimum_observations: int = 0,
 ) -> DataFrame:
     """Evaluates the roots over every interval of the frame.
 
     All-scalar roots give a row an interval; otherwise a row an interval and position, scalars repeated.
+    ``bindings`` name expressions that roots and later bindings may use.  Intervals with fewer rows than
+    ``minimum_observations`` fail, or get status 1 and NaN.
     """
     if isinstance(expressions, str):
         expressions = [expressions]
@@ -719,7 +747,27 @@ def evaluate(
         expressions = {f"r{i}": e for i, e in enumerate(expressions)}
     fields = set(frame.data.columns) - set(frame.keys) - {POS}
     plan = Plan(frame, fields, parameters, error_policy)
+    for name, e in (bindings or {}).items():
+        if name in fields or name in plan.parameters:
+            raise ExpressionError(f"{name} is bound already")
+        plan.bindings[name] = parse(e)
+        if name in names_of(plan.bindings[name]):
+            raise ExpressionError(f"{name} names itself")
     roots = {k: plan.node(parse(e)) for k, e in expressions.items()}
     if any(v.kind in (RECORD, WINDOW) for v in roots.values()):
         raise ExpressionError("records and windows must be projected before they are a root")
-    return plan.scalars(roots) if all(v.kind == SCALAR for v in roots.values()) else plan.series(roots)
+    scalar = all(v.kind == SCALAR for v in roots.values())
+    if not minimum_observations:
+        return plan.scalars(roots) if scalar else plan.series(roots)
+    if "_rows" in roots:
+        raise ExpressionError("_rows is reserved")
+    size = plan.node(Call("length", (Name(min(fields)),)))
+    out = plan.scalars(roots | {"_rows": size}) if scalar else plan.series(roots | {"_rows": size})
+    short = F.col("_rows") < minimum_observations
+    if error_policy == "raise":
+        return out.withColumns({k: F.when(short, F.raise_error(F.lit("INSUFFICIENT_OBSERVATIONS"))).otherwise(F.col(k)) for k in roots}).drop("_rows")
+    empty = {"double": nan(), "boolean": F.lit(False)}
+    kinds = dict(out.dtypes)
+    held = {k: F.when(short, empty.get(kinds[k], F.lit(0).cast("long"))).otherwise(F.col(k)) for k in roots}
+    held |= {f"{k}_status": F.when(short, F.lit(1).cast("smallint")).otherwise(F.col(f"{k}_status")) for k in roots}
+    return out.withColumns(held).drop("_rows", "_rows_status")

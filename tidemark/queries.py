@@ -53,6 +53,7 @@ def events(spark: SparkSession, sf_dir: str) -> IntervalFrame:
         "event": (F.pmod("event_id", F.lit(11)) % 4 - 2).cast("long"),
         "gap": F.when(F.pmod("event_id", F.lit(7)) == 0, float("nan")).otherwise(F.col("value")),
         "ident": "event_id",
+        "day": F.datediff("ts", F.lit("2000-01-01")).cast("double"),
     }
     return observations(e, "user_id", ["ts", "event_id"], fields)
 
@@ -336,6 +337,18 @@ def scope_block_apply(spark, sf_dir):  # noqa: ANN001, ANN201
     return rounded(block_apply(events(spark, sf_dir), {"m": "mean(nav)", "s": "linear_slope(nav)"}, 7))
 
 
+_D6 = "OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
+_DAY = "date_diff('day', DATE '2000-01-01', CAST(ts AS DATE))"
+
+
+@query(f"WITH {E}, d AS (SELECT *, {_DAY} AS day FROM e), x AS (SELECT user_id, pos, last_value(nav) {_D6} AS b, first_value(nav) {_D6} AS a, last_value(day) {_D6} - first_value(day) {_D6} AS el, count(*) {_D6} AS c FROM d) "
+       + sql({"excess": f"CASE WHEN pos >= 5 THEN b / a - 1 - (pow(1.03, el / 365.0) - 1) ELSE {_NAN} END", "pace": "CASE WHEN c >= 2 THEN el * 1.0 / (c - 1) ELSE CAST('nan' AS DOUBLE) END", "tail": "CASE WHEN pos < (SELECT max(pos) FROM e z WHERE z.user_id = x.user_id) THEN (SELECT nav FROM e y WHERE y.user_id = x.user_id AND y.pos = x.pos + 1) END"}, "FROM x", "user_id, pos"))
+def scope_dated_rolling(spark, sf_dir):  # noqa: ANN001, ANN201
+    """rolling_apply with dates, bindings and interval_tail."""
+    roots = {"excess": "rolling_apply(growth - risk_free_return_window, 6, day, 0.03)", "pace": "rolling_apply(window_elapsed_days / observation_count + 0 * last(nav), 6, day, 0.03, 2)", "tail": "interval_tail(nav)"}
+    return rounded(evaluate(events(spark, sf_dir), roots, bindings={"growth": "last(nav) / first(nav) - 1"}))
+
+
 _SCOPES = {
     "g_mean": ("group_apply(mean(nav), code)", "avg(nav) OVER (PARTITION BY user_id, code)"), "g_dev": ("nav - group_apply(max(nav), code)", "nav - max(nav) OVER (PARTITION BY user_id, code)"),
     "f_mean": ("nav * 0 + filter_apply(mean(nav), buy, 0)", "coalesce(avg(nav) FILTER (buy) OVER (PARTITION BY user_id), 0)"),
