@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import per_batch, texts
+from tidemark.llm.common import hash_share, materialize, per_batch, texts
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 #: bytes after lower-casing: ASCII letters and all non-ASCII stay, the rest are spaces
@@ -137,6 +137,11 @@ def identify(
     """
     may = F.col(lang).isNotNull() & F.col(text).isNotNull() & (learn if learn is not None else F.lit(True))
     ranked = docs.where(may).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("h"))
+    # the lowest hashes of a language are among a share of rows that holds about four times the wanted number
+    sizes, _ = materialize(ranked.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    few = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
+    share = F.lit(4.0 * per_lang + 100) / F.col("rows")
+    ranked = ranked.join(few, "lang").where(hash_share("id", share)).select("id", "lang", "h")
     first = Window.partitionBy("lang").orderBy("h", "id")
     chosen = ranked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("id", "lang")
     sample = docs.where(may).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi")

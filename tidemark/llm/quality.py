@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, per_batch, texts
+from tidemark.llm.common import hash_share, materialize, per_batch, texts
 
 STATISTICS = [
     "n_words", "n_bytes", "word_length", "distinct_share", "top_share", "short_share", "long_share", "upper_share", "digit_share",
@@ -190,6 +190,8 @@ def classify(
     stats, _ = materialize(with_statistics(docs, doc_id, text), "statistics")
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
     known = known.where(learn) if learn is not None else known
+    # the lowest hashes are among a share of rows that holds about four times the wanted number
+    known = known.where(hash_share("doc_id", F.lit((4.0 * train_rows + 100) / max(1, known.count()))))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(train_rows)
     rows = stats.join(F.broadcast(chosen), "doc_id").select("y", *STATISTICS).orderBy(*STATISTICS, "y").limit(4 * train_rows).toPandas()
     model = fit(rows[STATISTICS].to_numpy(float), rows["y"].to_numpy(float))
