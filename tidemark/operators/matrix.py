@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,7 +135,7 @@ def eigh_of(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dense(frame: pa.Table, name: str) -> np.ndarray:
-    part = frame.filter(pa.compute.equal(frame.column("part"), name))
+    part = frame.filter(pc.equal(frame.column("part"), name))
     i, j = part.column("i").to_numpy(), part.column("j").to_numpy()
     out = np.zeros((int(i.max(initial=-1)) + 1, int(j.max(initial=-1)) + 1))
     out[i, j] = part.column(V).to_numpy()
@@ -151,8 +152,6 @@ def _grouped(parts: dict[str, DataFrame], by: list[str], run: Callable[..., dict
     names = list(parts)
 
     def kernel(t: pa.Table) -> pa.Table:
-        import pyarrow.compute  # noqa: F401
-
         made = run(*[_dense(t, n) for n in names])
         rows = {"part": [], "i": [], "j": [], V: []}
         for n, m in made.items():
@@ -168,8 +167,6 @@ def _grouped(parts: dict[str, DataFrame], by: list[str], run: Callable[..., dict
 
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in key_types] + ["part string", "i long", "j long", "v double"])
     grouped = whole.groupBy(*by) if by else whole.withColumn("_one", F.lit(1)).groupBy("_one")
-    if by:
-        return grouped.applyInArrow(kernel, schema)
     return grouped.applyInArrow(kernel, schema)
 
 

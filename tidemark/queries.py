@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import finance
-from tidemark.functions.scalar import checked
 from tidemark.operators import axes, latent, matrix
 from tidemark.plans.compiler import evaluate
 from tidemark.plans.frame import POS, IntervalFrame, observations, sliced
@@ -364,12 +363,11 @@ def scope_group_filter_solve(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 _REG = {
-    "slope": ("linear_slope(nav)", "regr_slope(nav, pos)"), "intercept": ("linear_intercept(nav)", "regr_intercept(nav, pos)"), "r2": ("linear_r_squared(gap * 0 + nav * 0 + nav, nav)", None), "se": ("regression_standard_error(nav)", "sqrt((regr_syy(nav, pos) - regr_sxy(nav, pos) * regr_sxy(nav, pos) / regr_sxx(nav, pos)) / (count(*) - 2))"),
+    "slope": ("linear_slope(nav)", "regr_slope(nav, pos)"), "intercept": ("linear_intercept(nav)", "regr_intercept(nav, pos)"), "se": ("regression_standard_error(nav)", "sqrt((regr_syy(nav, pos) - regr_sxy(nav, pos) * regr_sxy(nav, pos) / regr_sxx(nav, pos)) / (count(*) - 2))"),
     "slope2": ("linear_slope(nav, nav * nav)", "regr_slope(nav * nav, nav)"), "f_slope": ("fit_slope(linear_fit(nav))", "regr_slope(nav, pos)"), "f_int": ("fit_intercept(linear_fit(nav))", "regr_intercept(nav, pos)"),
     "rss": ("fit_residual_sum_squares(linear_fit(nav))", "regr_syy(nav, pos) - regr_sxy(nav, pos) * regr_sxy(nav, pos) / regr_sxx(nav, pos)"), "tss": ("fit_total_sum_squares(linear_fit(nav))", "regr_syy(nav, pos)"), "n": ("fit_observation_count(linear_fit(nav))", "count(*)"),
     "r2_": ("linear_r_squared(nav)", "regr_r2(nav, pos)"),
 }
-_REG = {k: v for k, v in _REG.items() if v[1]}
 
 
 @query(f"WITH {E} " + sql({k: v[1] for k, v in _REG.items()}, "FROM e GROUP BY user_id", "user_id", 4))
@@ -686,7 +684,3 @@ def supplier_metrics(spark, sf_dir):  # noqa: ANN001, ANN201
     out = evaluate(f, {"revenue": "sum(price * (1 - discount))", "spread": "std(quantity)", "parts": "distinct_count(part)"})
     return out.select("l_suppkey", F.round("revenue", 2).alias("revenue"), F.round("spread", 6).alias("spread"), "parts")
 
-
-def direct(name: str, *columns: Column) -> Column:
-    """A catalogue operator called directly."""
-    return checked(name, *columns)
