@@ -281,11 +281,29 @@ def op_recurrences(spark, sf_dir):  # noqa: ANN001, ANN201
     return rounded(out.withColumn("hyst", F.col("hyst").cast("double")), 5)
 
 
-@query()
+_SEQ = f"""WITH RECURSIVE {R}, t AS (
+ SELECT DISTINCT user_id, CAST(-1 AS BIGINT) AS pos, CAST(NULL AS DOUBLE) AS ap, CAST(NULL AS DOUBLE) AS adaptive, CAST(0 AS DOUBLE) AS px, CAST(0 AS DOUBLE) AS y1, CAST(0 AS DOUBLE) AS y2, 0 AS cnt, CAST(NULL AS DOUBLE) AS second,
+  CAST(-1 AS BIGINT) AS ca, CAST(-1 AS BIGINT) AS cw, 0 AS ch, 0 AS cr, CAST(-1 AS BIGINT) AS confirm, CAST(0 AS BIGINT) AS sa, CAST(-1 AS BIGINT) AS sw, 0 AS sr, 0 AS ss, 0 AS evidence, 0 AS cs, CAST(NULL AS DOUBLE) AS low, -1 AS cycle FROM r
+ UNION ALL
+ SELECT user_id, pos, n_ap, CASE WHEN made THEN n_ap ELSE {_NAN} END, CASE WHEN fin THEN gap ELSE z_px END, CASE WHEN fin THEN n_y ELSE z_y1 END, CASE WHEN fin THEN z_y1 ELSE z_y2 END, CASE WHEN fin THEN z_cnt + 1 ELSE z_cnt END, CASE WHEN fin THEN n_y ELSE {_NAN} END,
+  CASE WHEN turn THEN code ELSE ca END, CASE WHEN code < 0 OR code = ca OR (turn AND ca >= 0) THEN -1 ELSE code END, CASE WHEN turn THEN 1 ELSE h END, CASE WHEN code < 0 OR code = ca OR (turn AND ca >= 0) THEN 0 ELSE c_run END, CASE WHEN code < 0 THEN -1 WHEN turn THEN code ELSE ca END,
+  CASE WHEN s_turn THEN code ELSE sa END, CASE WHEN code < 0 OR code = sa OR s_turn THEN -1 ELSE code END, CASE WHEN code < 0 OR code = sa OR s_turn THEN 0 ELSE s_run END, CASE WHEN code = sa OR s_turn THEN 1 ELSE ss END,
+  CASE WHEN code < 0 THEN 2 * ss WHEN code = sa OR s_turn THEN 1 ELSE 3 END, n_cs, CASE WHEN n_cs < 0 THEN NULL WHEN cs <= 0 AND n_cs <> cs THEN nav WHEN cs = 2 AND (low IS NULL OR nav < low) THEN nav WHEN cs = 1 AND n_cs <> 1 THEN nav ELSE low END, n_cs
+ FROM (SELECT r.user_id, r.pos, r.nav, r.code, r.gap, t.* EXCLUDE (user_id, pos), NOT isnan(gap) AS fin, r.nav > 400 AS rst,
+   CASE WHEN rst THEN NULL ELSE ap END AS z_ap, NOT isnan(gap) AND (z_ap IS NULL OR r.buy) AS made, CASE WHEN isnan(gap) THEN z_ap WHEN z_ap IS NULL THEN gap WHEN r.buy THEN z_ap + r.nav / 1000 * (gap - z_ap) ELSE z_ap END AS n_ap,
+   CASE WHEN rst THEN 0 ELSE px END AS z_px, CASE WHEN rst THEN 0 ELSE y1 END AS z_y1, CASE WHEN rst THEN 0 ELSE y2 END AS z_y2, CASE WHEN rst THEN 0 ELSE cnt END AS z_cnt, CASE WHEN z_cnt < 2 THEN gap ELSE CAST(0.2 AS DOUBLE) * gap + CAST(0.1 AS DOUBLE) * z_px + CAST(0.5 AS DOUBLE) * z_y1 + CAST(0.1 AS DOUBLE) * z_y2 END AS n_y,
+   ch + CASE WHEN ca >= 0 THEN 1 ELSE 0 END AS h, CASE WHEN r.code = cw THEN cr + 1 ELSE 1 END AS c_run, r.code >= 0 AND r.code <> ca AND c_run >= 2 AND (ca < 0 OR h > 1) AS turn,
+   CASE WHEN r.code = sw THEN sr + 1 ELSE 1 END AS s_run, r.code >= 0 AND r.code <> sa AND s_run >= 2 AS s_turn, r.nav / r.peak - 1 AS dd,
+   CASE WHEN NOT r.buy THEN -1 WHEN cs <= 0 AND dd <= -0.5 THEN 2 WHEN cs < 0 AND dd >= -0.1 THEN 0 WHEN cs = 2 AND low IS NOT NULL AND r.nav >= low AND r.nav / low - 1 >= 0.2 THEN 1 WHEN cs = 1 AND r.nav < low THEN 2 WHEN cs = 1 AND dd >= -0.1 THEN 0 ELSE cs END AS n_cs
+  FROM r JOIN t ON r.user_id = t.user_id AND r.pos = t.pos + 1))
+"""
+
+
+@query(_SEQ + sql({c: x for c, x in (("adaptive", "adaptive"), ("second", "second"), ("confirm", "confirm"), ("state", "sa"), ("evidence", "evidence"), ("pending", "sr"), ("cycle", "cycle"))}, "FROM t WHERE pos >= 0", "user_id, pos", 5))
 def op_sequential_states(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Operators 127, 128, 133-138: held against plain versions in the tests."""
+    """Operators 127, 128 and 133-138."""
     c = "state_continuous(code, code * 0, buy, 2, 5)"
-    return evaluate(
+    out = evaluate(
         events(spark, sf_dir),
         {
             "adaptive": "recursive_filter_adaptive(gap, nav / 1000, buy, nav > 400)", "second": "linear_filter2(gap, 0.2, 0.1, 0.5, 0.1, nav > 400)", "confirm": "state_confirm(code, 2, 1)",
@@ -293,6 +311,7 @@ def op_sequential_states(spark, sf_dir):  # noqa: ANN001, ANN201
             "cycle": "drawdown_cycle_state(nav, drawdown_series(nav), buy, 0.5, 0.2, 0.1)",
         },
     )
+    return rounded(out.select("user_id", POS, *[F.col(c).cast("double").alias(c) for c in out.columns[2:]]), 5)
 
 
 _BETWEEN = """, runs AS (SELECT *, sum(CASE WHEN event = -2 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g FROM e),
@@ -599,13 +618,23 @@ def op_hidden_markov(spark, sf_dir):  # noqa: ANN001, ANN201
     return latent.gaussian_hmm_em(_points(spark, sf_dir), ["user_id"], **_CHAIN, **_START, max_iterations=5).select("user_id", "model.*")
 
 
-@query()
+_HMM = f"""WITH RECURSIVE {E}, x AS (SELECT user_id, pos, ln(nav + 1) AS a, ident % 3 AS b, max(pos) OVER (PARTITION BY user_id) AS last FROM e),
+ em AS (SELECT user_id, pos, last, exp(-0.5 * ((a - 2) * (a - 2) + (b - 0.5) * (b - 0.5))) AS e0, exp(-0.5 * ((a - 4.5) * (a - 4.5) + (b - 1.5) * (b - 1.5))) AS e1 FROM x),
+ f AS (SELECT user_id, pos, 0.6 * e0 / (0.6 * e0 + 0.4 * e1) AS p FROM em WHERE pos = 0
+  UNION ALL SELECT em.user_id, em.pos, (0.8 * p + 0.3 * (1 - p)) * e0 / ((0.8 * p + 0.3 * (1 - p)) * e0 + (0.2 * p + 0.7 * (1 - p)) * e1) FROM em JOIN f ON em.user_id = f.user_id AND em.pos = f.pos + 1),
+ g AS (SELECT user_id, pos, CAST(0.5 AS DOUBLE) AS q FROM em WHERE pos = last
+  UNION ALL SELECT em.user_id, em.pos - 1, (0.8 * e0 * q + 0.2 * e1 * (1 - q)) / (0.8 * e0 * q + 0.2 * e1 * (1 - q) + 0.3 * e0 * q + 0.7 * e1 * (1 - q)) FROM em JOIN g ON em.user_id = g.user_id AND em.pos = g.pos WHERE em.pos > 0)
+"""
+
+
+@query(_HMM + sql({"f0": "p", "f1": "1 - p", "s0": "p * q / (p * q + (1 - p) * (1 - q))", "s1": "(1 - p) * (1 - q) / (p * q + (1 - p) * (1 - q))"}, "FROM f JOIN g USING (user_id, pos)", "user_id, pos AS i"))
 def op_hmm_posteriors(spark, sf_dir):  # noqa: ANN001, ANN201
     """Operators 179 and 180."""
     x = _points(spark, sf_dir)
     e = x.select("user_id", "i", F.array(*[latent.log_density(F.col("x"), m, v) for m, v in zip(_START["means"], _START["variances"], strict=True)]).alias("e"))
-    f = latent.hmm_filter(e, ["user_id"], **_CHAIN).withColumnRenamed("p", "filtered")
-    return f.join(latent.hmm_smooth(e, ["user_id"], **_CHAIN).withColumnRenamed("p", "smoothed"), ["user_id", "i"])
+    f = latent.hmm_filter(e, ["user_id"], **_CHAIN).withColumnRenamed("p", "f")
+    both = f.join(latent.hmm_smooth(e, ["user_id"], **_CHAIN).withColumnRenamed("p", "s"), ["user_id", "i"])
+    return rounded(both.select("user_id", "i", *[F.get(c, F.lit(k)).alias(f"{c}{k}") for c in "fs" for k in (0, 1)]))
 
 
 @query("WITH RECURSIVE n AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT 0 AS k, CAST(8 AS BIGINT) AS st UNION ALL SELECT k + 1, st * 48271 % 2147483647 FROM s WHERE k < 5) SELECT k - 1 AS k, st % n AS v FROM s, n WHERE k > 0")
