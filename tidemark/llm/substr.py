@@ -129,7 +129,7 @@ class Bloom:
             self.bits[i * slice_bits // 8 : (i + 1) * slice_bits // 8] = np.frombuffer(b, np.uint8)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
-        base = (h >> np.uint64(58)).astype(np.int64) * self.slice_bits
+        base = (h & np.uint64(SLICES - 1)).astype(np.int64) * self.slice_bits
         out = np.ones(len(h), bool)
         for x in _bits(h, self.slice_bits):
             at = base + x
@@ -146,7 +146,7 @@ def bloom_of(hashes: DataFrame, bloom_bits: int) -> Bloom:
         own: dict[int, np.ndarray] = {}
         for b in batches:
             h = b.column("h").to_numpy().view(np.uint64)
-            part = (h >> np.uint64(58)).astype(np.int64)
+            part = (h & np.uint64(SLICES - 1)).astype(np.int64)  # low bits: the high ones of a minimum are small
             for i in np.unique(part):
                 bits = own.setdefault(int(i), np.zeros(slice_bits, bool))
                 for x in _bits(h[part == i], slice_bits):
@@ -154,7 +154,7 @@ def bloom_of(hashes: DataFrame, bloom_bits: int) -> Bloom:
         for i, bits in own.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["i", "bits"])
 
-    by_slice = hashes.repartition(min(SLICES, max(1, n // 500_000)), F.shiftrightunsigned("h", 58))
+    by_slice = hashes.repartition(min(SLICES, max(1, n // 500_000)), F.col("h").bitwiseAND(F.lit(SLICES - 1)))
     return Bloom({r.i: bytes(r.bits) for r in by_slice.mapInArrow(build, "i int, bits binary").toLocalIterator()}, slice_bits)
 
 
