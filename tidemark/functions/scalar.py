@@ -77,22 +77,54 @@ def normal_ppf(p: Column) -> Result:
     return F.when(~bad, value).otherwise(nan()), bad, "DOMAIN_ERROR"
 
 
-def erfc(x: Column) -> Column:
-    """Complementary error function to about 1e-15: a series near 0 and a continued fraction beyond, both unrolled."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+TERMS, SPLIT = 60, 2.5
+
+
+def _erfc_parts(x: Column, series: Callable[[Column], Column], fraction: Callable[[Column], Column]) -> Column:
+    """erfc from a series near 0 and a continued fraction beyond, both to about 1e-15.
+
+    erf(a) = 2/sqrt(pi) a exp(-a^2) (1 + 2a^2/3 (1 + 2a^2/5 (...))); erfc(a) = exp(-a^2)/sqrt(pi) / (a + 1/2/(a + 2/2/(a + ...))).
+    """
     a = F.abs(x)
-    s = a * a
-    total = F.lit(1.0)
-    # erf(a) = 2/sqrt(pi) * a * exp(-a^2) * sum (2 a^2)^n / (2n+1)!!, by Horner from the end
-    for n in range(60, 0, -1):
-        total = F.lit(1.0) + total * s * F.lit(2.0 / (2 * n + 1))
-    near = 1.0 - F.lit(2.0 / math.sqrt(math.pi)) * a * F.exp(-s) * total
-    beyond = F.greatest(a, F.lit(1.0))  # every denominator is positive
-    term = beyond
-    for n in range(60, 0, -1):
-        term = beyond + F.lit(n / 2.0) / term
-    far = F.exp(-s) / F.lit(math.sqrt(math.pi)) / term
-    tail = F.when(a < 2.5, near).otherwise(far)
-    return F.when(F.isnan(x), x).when(x < 0, 2.0 - tail).otherwise(tail)
+    near = 1.0 - F.lit(2.0 / math.sqrt(math.pi)) * a * F.exp(-a * a) * series(a * a)
+    far = F.exp(-a * a) / F.lit(math.sqrt(math.pi)) / fraction(F.greatest(a, F.lit(1.0)))
+    sign = F.when(x < 0, -1.0).otherwise(1.0)
+    return F.when(F.isnan(x), x).otherwise((1.0 - sign) + sign * F.when(a < SPLIT, near).otherwise(far))
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function over any expression: folds keep the expression small."""
+    steps = F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1))
+
+    def body(v: Column) -> Column:
+        series = lambda s: F.aggregate(steps, F.lit(1.0), lambda t, n: 1.0 + t * s * 2.0 / (2.0 * n + 1.0))
+        fraction = lambda c: F.aggregate(steps, c, lambda t, n: c + n / 2.0 / t)
+        return _erfc_parts(v, series, fraction)
+
+    return let(x, body)
+
+
+def erfc_of_column(x: Column) -> Column:
+    """The same, unrolled for code generation: for plain columns, as x is named over a hundred times."""
+
+    def series(s: Column) -> Column:
+        t = F.lit(1.0)
+        for n in range(TERMS, 0, -1):
+            t = 1.0 + t * s * F.lit(2.0 / (2 * n + 1))
+        return t
+
+    def fraction(c: Column) -> Column:
+        t = c
+        for n in range(TERMS, 0, -1):
+            t = c + F.lit(n / 2.0) / t
+        return t
+
+    return _erfc_parts(x, series, fraction)
 
 
 def _compare(f: Callable[[Column, Column], Column], unordered: bool) -> Callable[[Column, Column], Result]:

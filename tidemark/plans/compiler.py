@@ -12,6 +12,7 @@ Statuses follow the data through every dependency, also through branches that ``
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -23,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.functions.catalog import ALIASES, CATALOG
 from tidemark.functions.reduce import FIT, REDUCTIONS
-from tidemark.functions.scalar import BOOLEAN, ELEMENTWISE, finite, nan
+from tidemark.functions.scalar import BOOLEAN, ELEMENTWISE, erfc_of_column, finite, let, nan
 from tidemark.operators.kernels import KERNELS, drawdown_cycle_reference, phase_direction
 from tidemark.plans.expr import Call, ExpressionError, Name, Node, Number, parse
 from tidemark.plans.expr import names as names_of
@@ -39,6 +40,10 @@ REWRITES = {
 }
 
 
+LINEAR = {"add", "subtract", "multiply", "negate", "active_returns", "logical_and", "logical_or", "logical_not", "absolute", "cos", "expm1"}
+HEAVY = 24
+
+
 @dataclass(eq=False)
 class Value:
     """A node: its kind, its expression over columns that exist at ``level``, and its status there."""
@@ -56,6 +61,7 @@ class Value:
     dtype: str = "double"
     feeds_series: bool = False
     window: tuple[Value, int, int] | None = None
+    weight: int = 1  # about the size of the expression
 
 
 class Plan:
@@ -157,7 +163,7 @@ class Plan:
             return value, None
         status = codes[0] if len(codes) == 1 else F.greatest(*codes)
         empty = {"double": nan(), "boolean": F.lit(False), "long": F.lit(0).cast("long")}[dtype]
-        return F.when(status == 0, value).when(value.isNull() & (status == 0), value).otherwise(empty), status
+        return F.when(status != 0, empty).otherwise(value), status
 
     def _elementwise(self, name: str, args: list[Value]) -> Value:
         kind = SERIES if any(a.kind == SERIES for a in args) else SCALAR
@@ -180,9 +186,40 @@ class Plan:
             v.reduction = build
             v.name = "scalar"
             return v
-        value, failed, error = ELEMENTWISE[name](*[self._read_series(a) for a in args])
+        if name == "normal_cdf" and kind == SERIES and not self.locals:
+            level = args[0].level + 1
+            z = self._stage(-self._read_series(args[0]) / F.lit(math.sqrt(2.0)), level)
+            return Value(SERIES, 0.5 * erfc_of_column(z), level, args[0].status, drop=args[0].drop, parents=tuple(args))
+        columns = [self._read_series(a) for a in args]
+        size = sum(a.weight for a in args)
+        if self.policy == "quiet":  # inside a lambda: failures are NaN, and large arguments are bound to a name
+
+            def form(*c: Column) -> Column:
+                value, failed, _ = ELEMENTWISE[name](*c)
+                return value if failed is None else F.when(failed, nan()).otherwise(value)
+
+            if size > HEAVY and name not in LINEAR:
+                parts = F.struct(*[c.alias(f"a{i}") for i, c in enumerate(columns)])
+                column, size = let(parts, lambda t: form(*[t[f"a{i}"] for i in range(len(columns))])), size + 8
+            else:
+                column, size = form(*columns), size * (1 if name in LINEAR else 3) + 1
+            return Value(kind, column, self._level(args), drop=max(drops, default=0), parents=tuple(args), dtype=dtype, weight=size)
+        if size > HEAVY and name not in LINEAR:
+            for a in args:
+                self._settle(a)
+            columns, size = [a.column for a in args], sum(a.weight for a in args)
+        value, failed, error = ELEMENTWISE[name](*columns)
         column, status = self._guard(value, failed, error, args, kind == SCALAR, dtype)
-        return Value(kind, column, self._level(args), status, drop=max(drops, default=0), parents=tuple(args), dtype=dtype)
+        size = size * (1 if name in LINEAR and self.policy == "raise" else 3) + 1
+        return Value(kind, column, self._level(args), status, drop=max(drops, default=0), parents=tuple(args), dtype=dtype, weight=size)
+
+    def _settle(self, v: Value) -> None:
+        """Turns a large series expression into a column of its own stage, so that operators that name it often stay small."""
+        if v.kind == SERIES and v.weight > 8:
+            v.level += 1
+            v.column = self._stage(v.column, v.level)
+            v.status = None if v.status is None else self._stage(v.status, v.level)
+            v.weight = 1
 
     def _read_series(self, v: Value) -> Column:
         """A value where a series consumes it."""
@@ -555,16 +592,18 @@ class Plan:
 
         def step(s: Column, _: Column) -> Column:
             mid = (s["lo"] + s["hi"]) / 2.0
-            f = at(mid)
-            done = s["done"] | (F.abs(f) == 0) | (((s["hi"] - s["lo"]) / 2.0) <= tol)
-            left = (f > 0) == (s["fl"] > 0)
-            keep = s["done"]
-            return F.struct(
-                F.when(keep, s["lo"]).when(done, mid).when(left, mid).otherwise(s["lo"]).alias("lo"),
-                F.when(keep, s["hi"]).when(done, mid).when(left, s["hi"]).otherwise(mid).alias("hi"),
-                F.when(~keep & left & ~done, f).otherwise(s["fl"]).alias("fl"),
-                done.alias("done"),
-            )
+
+            def halve(f: Column) -> Column:
+                done = s["done"] | (F.abs(f) == 0) | (((s["hi"] - s["lo"]) / 2.0) <= tol)
+                left = (f > 0) == (s["fl"] > 0)
+                return F.struct(
+                    F.when(s["done"], s["lo"]).when(done | left, mid).otherwise(s["lo"]).alias("lo"),
+                    F.when(s["done"], s["hi"]).when(left & ~done, s["hi"]).otherwise(mid).alias("hi"),
+                    F.when(~s["done"] & left & ~done, f).otherwise(s["fl"]).alias("fl"),
+                    done.alias("done"),
+                )
+
+            return let(at(mid), halve)
 
         a, b = self._read_series(lo), self._read_series(hi)
         fa, fb = at(a), at(b)
@@ -582,15 +621,17 @@ class Plan:
         kind = SERIES if any(a.kind == SERIES for a in args) else SCALAR
 
         def step(s: Column, _: Column) -> Column:
-            x = self._with_local({"iterate_x": Value(kind, s["x"])}, body).column
-            stopped, gap = s["status"] != 1, F.abs(x - s["x"])
-            broken = ~finite(x)
-            return F.struct(
-                F.when(stopped | broken, s["x"]).otherwise(x).alias("x"),
-                F.when(stopped, s["status"]).when(broken, 5).when(gap <= tol, 0).otherwise(1).alias("status"),
-                F.when(stopped | broken, s["count"]).otherwise(s["count"] + 1).alias("count"),
-                F.when(stopped | broken, s["residual"]).otherwise(gap).alias("residual"),
-            )
+            def feed(x: Column) -> Column:
+                stopped, gap = s["status"] != 1, F.abs(x - s["x"])
+                broken = ~finite(x)
+                return F.struct(
+                    F.when(stopped | broken, s["x"]).otherwise(x).alias("x"),
+                    F.when(stopped, s["status"]).when(broken, 5).when(gap <= tol, 0).otherwise(1).alias("status"),
+                    F.when(stopped | broken, s["count"]).otherwise(s["count"] + 1).alias("count"),
+                    F.when(stopped | broken, s["residual"]).otherwise(gap).alias("residual"),
+                )
+
+            return let(self._with_local({"iterate_x": Value(kind, s["x"])}, body).column, feed)
 
         start = F.struct(self._read_series(first).cast("double").alias("x"), F.lit(1).alias("status"), F.lit(0).alias("count"), nan().alias("residual"))
         done = F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step)
@@ -611,8 +652,8 @@ class Plan:
 
     def _with_local(self, names: dict[str, Value], body: Node) -> Value:
         before, self.locals = self.locals, {**self.locals, **names}
-        memo, self.memo, policy = self.memo, dict(self.memo), self.policy
-        self.policy = "isolate"
+        memo, self.memo, policy = self.memo, {}, self.policy
+        self.policy = "quiet"
         try:
             return self.node(body)
         finally:
