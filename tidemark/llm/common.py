@@ -8,6 +8,9 @@ gives ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,12 +65,29 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+_worker_cache: dict[object, object] = {}
+
+
+def worker_cache(key: object, make: Callable[[], object] = lambda: None):  # noqa: ANN201
+    """One object a worker process that outlives tasks; another operator's is dropped, so that they don't add up."""
+    if key not in _worker_cache:
+        if _worker_cache:
+            _worker_cache.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+        _worker_cache[key] = make()
+    return _worker_cache[key]
+
+
 def per_batch(
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that sets up once a task and maps batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(make.__qualname__)
         f = make()
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):  # keeps what stands in Python's memory small

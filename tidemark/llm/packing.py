@@ -33,15 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, texts
+from tidemark.llm.common import materialize, texts, worker_cache
 
 _LATIN = re.compile(r"[\x00-\xff]*")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _END = b"\xff"  # stands for the end of a word; never a byte of UTF-8
 
-_tables: dict[tuple[str, int], ChunkIds] = {}
-
-
 class ChunkIds(dict):
     """White-space separated chunk -> its ids as little-endian unsigned 32-bit bytes, a bounded cache.
 
@@ -131,13 +128,6 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, (text or b"").split()))
 
 
-def chunk_ids(file: str, limit: int) -> ChunkIds:
-    """One table a worker process, whatever number of tasks it runs."""
-    if (file, limit) not in _tables:
-        _tables[file, limit] = ChunkIds(file, limit)
-    return _tables[file, limit]
-
-
 def place(
     histogram: dict[int, int],
     capacity: int,
@@ -226,7 +216,8 @@ def pack(
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, task, ranks = chunk_ids(tokenizer_file, cache_size), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        table = worker_cache(("packing", tokenizer_file, cache_size), lambda: ChunkIds(tokenizer_file, cache_size))
+        task, ranks = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for few in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             rows: list[tuple] = []
             for doc, t in zip(few.column("doc_id").to_pylist(), texts(few), strict=True):

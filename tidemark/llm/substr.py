@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.automaton import SuffixAutomaton
-from tidemark.llm.common import materialize, texts
+from tidemark.llm.common import materialize, texts, worker_cache
 
 LAST = 2**63 - 1
 SLICES = 64
@@ -59,9 +59,6 @@ class WordHashes(dict):
         return h
 
 
-_hashes = WordHashes()
-
-
 def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024))
 
@@ -81,7 +78,7 @@ def minimizers(docs: list[list[bytes]], window: int, gram: int) -> Iterator[tupl
             end += 1
         own = [(i, w) for i, w in enumerate(docs[at:end], at) if len(w) >= window]
         if own:
-            get = _hashes.__getitem__
+            get = worker_cache("words", WordHashes).__getitem__
             sizes = np.array([len(w) for _, w in own])
             h = np.fromiter((x for _, w in own for x in map(get, w)), np.uint64, int(sizes.sum()))
             g, width = h, 1
