@@ -39,6 +39,16 @@ _LATIN = re.compile(r"[\x00-\xff]*")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _END = b"\xff"  # stands for the end of a word; never a byte of UTF-8
 
+def _byte_alphabet() -> dict[str, int]:
+    """Byte-level tokens write printable Latin-1 bytes as themselves and the others as characters from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+_BYTE_OF = _byte_alphabet()
+
+
 class ChunkIds(dict):
     """White-space separated chunk -> its ids as little-endian unsigned 32-bit bytes, a bounded cache.
 
@@ -84,13 +94,8 @@ class ChunkIds(dict):
     @staticmethod
     def _bytes(token: str) -> bytes:
         """A byte-level token as bytes, its end-of-word mark as _END."""
-        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in own]
-        table = ChunkIds.__dict__.get("_table") or {**{chr(b): b for b in own}, **{chr(256 + i): b for i, b in enumerate(others)}}
-        if "_table" not in ChunkIds.__dict__:
-            ChunkIds._table = table
         word = token.endswith("</w>")
-        return bytes(table[c] for c in (token[:-4] if word else token)) + (_END if word else b"")
+        return bytes(_BYTE_OF[c] for c in (token[:-4] if word else token)) + (_END if word else b"")
 
     def __missing__(self, chunk: bytes) -> bytes:
         out = self.older.pop(chunk, None)
