@@ -163,6 +163,7 @@ def repeated_grams(src: DataFrame, window: int, gram: int, bloom_bits: int, hot:
             for part in minimizers([(t or b"").split() for t in texts(b)], window, gram):
                 h, n = np.unique(part[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
+        worker_cache("idle")
 
     counted = src.select("text").mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     counted, _ = materialize(counted, "grams")
@@ -230,6 +231,7 @@ def passages(bloom: Broadcast, window: int, gram: int):
                 if len(held) > FLUSH or len(gone) > FLUSH:
                     yield from flush(len(held) > FLUSH)
         yield from flush(True)
+        worker_cache("idle")  # gives memory back, the next stage may be the JVM's alone
 
     return run
 
