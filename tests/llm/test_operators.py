@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on odd rows, and on empty tables."""
 
+import base64
 import gzip
 import hashlib
 import random
@@ -392,6 +393,29 @@ def test_rejected_documents_go(spark):
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {*range(120), 902}
 
 
+def wide(alphabet, seed):
+    """Texts of 20 to 400 words out of many that the alphabet makes, common ones more often."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    return lambda n: " ".join(words[int(400 * rng.random() ** 2)] for _ in range(n)), rng
+
+
+def test_long_junk_and_unlearned_languages_are_rejected(spark):
+    en, rng = wide("eeettaoinsrhl", 6)
+    de, _ = wide("eenisratdüßchg", 7)
+    new, _ = wide("aaiouklmnpyjvw", 8)  # never learned
+    rows = [(i, make(rng.randint(20, 400)), k) for i, (make, k) in enumerate([(en, "en"), (de, "de")] * 80)]
+    letters = lambda n, a: " ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 8))) for _ in range(n))
+    latin, han = "abcdefghijklmnopqrstuvwxyz", [chr(x) for x in range(0x4E00, 0x9000)]
+    junk = [letters(n, latin) for n in (50, 200, 500, 10_000)] + [letters(n, han) for n in (50, 500, 3000)]
+    junk += [base64.b64encode(rng.randbytes(n)).decode() for n in (2000, 20_000)] + [new(n) for n in (100, 400, 5000)]
+    clean = [make(n) for make in (en, de) for n in (1, 3, 10, 50, 400, 20_000)]
+    rows += [(1000 + i, t, None) for i, t in enumerate(junk)] + [(2000 + i, t, None) for i, t in enumerate(clean)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert [i for i in range(len(junk)) if not got[1000 + i].rejected] == []
+    assert [i for i in range(len(clean)) if got[2000 + i].rejected] == [] and not any(got[i].rejected for i in range(160))
+
+
 # -- decontamination ----------------------------------------------------------------------
 
 

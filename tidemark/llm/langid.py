@@ -4,8 +4,15 @@ A text is lower-cased, everything but letters becomes a space, and its byte n-gr
 counted in ``buckets`` hash buckets over the whole text.  Sub-linear counts times inverse document frequencies,
 normalised, are compared by cosine with several centroids per language, which spherical
 k-means finds among the language's training texts.  The nearest centroid gives
-the language.  A text is rejected if its distance to it, 1 - cosine, is over ``max_distance``: short texts of a
-known language stay well below the default, other scripts and random letters are above it.
+the language.
+
+Rejection.  A text is rejected if its distance to the nearest centroid, 1 - cosine, is over a limit that depends on its
+number of different grams: any text comes closer to every centroid as it grows, be it noise.  Below ``SHORT`` of them
+the limit is ``max_distance``.  Above, it is fitted: each half of the training texts is held against centroids of
+the other, single and added up to longer ones, and in each doubling of that number the limit stands ``SLACK``
+of the way from the 0.99 quantile of these distances to 1, ``max_distance`` at most; longer texts than
+any learned have the limit of the longest.  So random letters, other scripts and unlearned languages go at any length; an
+unlearned language that shares many grams with a learned one may stay where the text is short.
 
 Training: at most ``per_lang`` texts of each language, chosen by a hash of the id (the same
 rows at any partitioning); idf and centroids come from this bounded sample, which is all that
@@ -21,6 +28,7 @@ slices; repeated rows are predicted each; other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +43,9 @@ _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 #: bytes after lower-casing: ASCII letters and all non-ASCII stay, the rest are spaces
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SLICE = 8_000_000
+#: different grams from which the fitted limits hold
+SHORT = 64
+SLACK = 0.7
 
 
 def has_letter(text: bytes | None) -> bool:
@@ -73,6 +84,7 @@ class Centroids:
     idf: np.ndarray
     matrix: np.ndarray  # buckets x centroids
     owner: np.ndarray  # centroid -> language
+    limits: np.ndarray | None = None  # by doublings of the number of different grams -> distance
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         v = np.log1p(counts) * self.idf
@@ -89,6 +101,41 @@ class Centroids:
         e = np.exp(24.0 * (best - best.max(1, keepdims=True)))
         return lang, e.max(1) / e.sum(1), 1 - cos[np.arange(len(cos)), near]
 
+    def limit(self, counts: np.ndarray, max_distance: float) -> np.ndarray:
+        """The distance over which a text is rejected."""
+        if self.limits is None:
+            return np.full(len(counts), max_distance)
+        n = (counts > 0).sum(1)
+        return np.where(n < SHORT, max_distance, np.minimum(self.limits[doublings(n)], max_distance))
+
+
+def doublings(n: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(n, 1)).astype(np.int64)
+
+
+def fit_limits(rows: list[tuple[str, np.ndarray]], buckets: int) -> np.ndarray | None:
+    """Limit of the distance by doublings of the number of different grams; None without two texts."""
+    size, far = [], []
+    halves = rows[::2], rows[1::2]
+    for own, other in (halves, halves[::-1]):
+        model = fit(other, buckets)
+        if model is None:
+            return None
+        for k in sorted({x for x, _ in own}):
+            part = np.stack([c for x, c in own if x == k])
+            while len(part):
+                size.append((part > 0).sum(1))
+                far.append(model.predict(part)[2])
+                part = part[: len(part) // 2 * 2]
+                part = part[::2] + part[1::2]
+    at, distance = doublings(np.concatenate(size)), np.concatenate(far)
+    out = np.ones(buckets.bit_length())
+    for i in range(at.min(), len(out)):
+        q = np.quantile(distance[at == i], 0.99) if (at == i).any() else 1.0
+        before = out[i - 1] if i > at.min() else 1.0
+        out[i] = min(before, q + SLACK * (1 - q))
+    return out
+
 
 def fit(rows: list[tuple[str, np.ndarray]], buckets: int, per_centroid: int = 4, rounds: int = 12) -> Centroids | None:
     """rows: (language, counts)."""
@@ -162,8 +209,13 @@ def identify(
         c[np.frombuffer(at, np.int32)] = np.frombuffer(n, np.float32)
         return c
 
-    learned = [(r.lang, dense(bytes(r.at), bytes(r.n))) for r in sample.mapInArrow(sparse, "lang string, at binary, n binary").collect()]
-    model = docs.sparkSession.sparkContext.broadcast(fit(learned, buckets))
+    learned = [(r.lang, bytes(r.at), bytes(r.n)) for r in sample.mapInArrow(sparse, "lang string, at binary, n binary").collect()]
+    learned.sort(key=lambda r: (r[0], zlib.crc32(r[1] + r[2])))  # the same halves at any partitioning
+    limits = fit_limits([(k, dense(at, n)) for k, at, n in dict.fromkeys(learned)], buckets)
+    fitted = fit([(k, dense(at, n)) for k, at, n in learned], buckets)
+    if fitted is not None:
+        fitted.limits = limits
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def make():
         m = model.value
@@ -175,12 +227,14 @@ def identify(
                 part = all_texts[i : i + 128]
                 letters = [m is not None and has_letter(t) for t in part]
                 if m is None:
-                    at, s, far = np.zeros(len(part), int), np.zeros(len(part)), np.ones(len(part))
+                    at, s, over = np.zeros(len(part), int), np.zeros(len(part)), np.ones(len(part), bool)
                 else:
-                    at, s, far = m.predict(counts_of(part, buckets))
+                    counts = counts_of(part, buckets)
+                    at, s, far = m.predict(counts)
+                    over = far > m.limit(counts, max_distance)
                 pred += [m.languages[k] if ok else "und" for k, ok in zip(at, letters, strict=True)]
                 score += [float(x) if ok else 0.0 for x, ok in zip(s, letters, strict=True)]
-                gone += [bool(x > max_distance) or not ok for x, ok in zip(far, letters, strict=True)]
+                gone += [bool(x) or not ok for x, ok in zip(over, letters, strict=True)]
             extra = [b.column(i) for i in range(1, b.num_columns)]
             names = [f"_{i}" for i in range(len(extra))]
             return pa.RecordBatch.from_arrays([*extra, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(gone, pa.bool_())], [*names, "lang_pred", "score", "rejected"])
