@@ -79,6 +79,20 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_one_row_a_component_stays(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(rng.choice("abcdefghijkl") * 3 + rng.choice("mnop") for _ in range(60)) for _ in range(5))
+    rows = [(1, a)] * 3 + [(2, a), (None, a), (None, a)]  # repeated rows and null ids beside a kept document
+    rows += [(None, b)] * 3  # null ids only
+    rows += [(3, c), (3, d), (4, d)] + [(5, e), (6, e)]  # an id with two texts; plain copies
+    docs = table(spark, rows).repartition(3)
+    out = simhash.keep_first(docs)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=key) == sorted([(1, a), (None, b), (3, c), (3, d), (5, e)], key=key)
+    assert sorted(r.doc_id for r in simhash.keep_first(table(spark, [(8, a), (7, a), (9, b)])).collect()) == [7, 9]
+
+
 # -- SimHash -----------------------------------------------------------------------
 
 

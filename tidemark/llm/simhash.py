@@ -214,6 +214,15 @@ def near_links(distinct: DataFrame, most: int) -> DataFrame:
     return replicas.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(compare, "u long, v long")
 
 
+def _components(docs: DataFrame, doc_id: str, text: str, words: int, seed: int, most_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) a document, and (fp, root, rep) a fingerprint: its component and the smallest id that has it."""
+    own, _ = materialize(fingerprints(docs, doc_id, text, words, seed), "fingerprints")
+    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    distinct, _ = materialize(distinct, "distinct")
+    roots = connected_components(near_links(distinct, most_bits)).withColumnRenamed("node", "fp")
+    return own, distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -224,18 +233,52 @@ def near_duplicates(
     most_bits: int = 4,
 ) -> DataFrame:
     """One row a document: doc_id, fingerprint (16 hex digits), component_id (the smallest id that can be reached)."""
-    own, _ = materialize(fingerprints(docs, doc_id, text, words, seed), "fingerprints")
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    distinct, _ = materialize(distinct, "distinct")
-    roots = connected_components(near_links(distinct, most_bits)).withColumnRenamed("node", "fp")
-    named = distinct.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    own, named = _components(docs, doc_id, text, words, seed, most_bits)
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_fp = named.join(names, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that a smaller id of their group stands for."""
-    near = near_duplicates(docs, doc_id=doc_id, **options)
-    gone = near.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+def keep_first(
+    docs: DataFrame,
+    *,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    words: int = 4,
+    seed: int = 42,
+    most_bits: int = 4,
+) -> DataFrame:
+    """Exactly one row of each component: that with the smallest id, a null id only where there is no other.
+
+    Of rows that share that id in a component, those of the smallest fingerprint compete, and of these that with the smallest
+    hash of all columns stays; an id that stands for different texts stays once in each component that it leads.
+    """
+    own, named = _components(docs, doc_id, text, words, seed, most_bits)
+    best = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")).alias("best")
+    first, _ = materialize(named.groupBy("root").agg(best).select("best.fp", F.col("best.rep").alias("doc_id")), "first")
+    led = first.select("fp", F.col("doc_id").alias("lead"), F.lit(1).alias("is_first"))
+    led = own.join(led, "fp", "left").withColumn("first", F.col("is_first").isNotNull() & F.col("doc_id").eqNullSafe(F.col("lead")))
+    tally = led.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("first").alias("firsts"))
+    tally, _ = materialize(tally.where("n > 1 OR firsts = 0 OR doc_id IS NULL").select(F.col("doc_id").alias("_gone"), "firsts"), "gone")
+    kept = docs.where(F.col(doc_id).isNotNull()).join(tally.select("_gone"), docs[doc_id] == tally["_gone"], "left_anti")
+    shared = tally.where("firsts > 0").select("_gone")
+    if shared.isEmpty():
+        return kept
+
+    # rows of repeated or null ids: the fingerprint tells them apart
+    cols = [f"_{i}" for i in range(len(docs.columns))]
+
+    def make():
+        def f(b: pa.RecordBatch) -> pa.RecordBatch:
+            fp = np.array([fingerprint(t, words, seed) for t in texts(b, "_text")], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp)], [*cols, "_id", "_fp"])
+
+        return f
+
+    some = docs.join(shared, docs[doc_id].cast("long").eqNullSafe(shared["_gone"]), "left_semi")
+    src = some.select(F.col(text).alias("_text"), *[F.col(f"`{c}`").alias(i) for i, c in zip(cols, docs.columns, strict=True)], F.col(doc_id).cast("long").alias("_id"))
+    kinds = ", ".join(f"{i} {t.dataType.simpleString()}" for i, t in zip(cols, docs.schema, strict=True))
+    marked = src.mapInArrow(per_batch(make), f"{kinds}, _id long, _fp long")
+    marked = marked.join(first, marked["_id"].eqNullSafe(first["doc_id"]) & (marked["_fp"] == first["fp"]), "left_semi")
+    one = marked.groupBy("_id", "_fp").agg(F.min_by(F.struct(*cols), F.xxhash64(*cols)).alias("row"))
+    return kept.unionAll(one.select(*[F.col(f"row.{i}").alias(c) for i, c in zip(cols, docs.columns, strict=True)]))
