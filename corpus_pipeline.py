@@ -19,7 +19,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, that with the smallest id."""
+    """One document of each SimHash group, that with the smallest id.
+
+    Operator 1's contract binds: 4-word shingles, links at 4 bits.  Near copies further apart stay (README, known limits).
+    """
     return simhash.keep_first(docs, words=4, most_bits=4)
 
 
