@@ -330,6 +330,16 @@ def test_revisits_start_at_the_bound(spark):
     assert got == {"1": "response", "2": "response", "3": "revisit", "4": "response"}
 
 
+def test_warc_urls_of_any_length(tmp_path):
+    rng = random.Random(13)
+    urls = ["http://a/" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)) for n in (10, 70_000, 300_000, 20)]
+    data = b"".join(warc.record(str(i), u, b"body", None) for i, u in enumerate(urls))
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    for k in (len(data), 1000, 60_000):
+        got = [h["warc-target-uri"] for a in range(0, len(data), k) for h, _, _ in warc.RangeReader(str(tmp_path / "a.warc.gz"), a, a + k)]
+        assert got == urls
+
+
 def test_false_and_broken_members(tmp_path):
     good = [warc.record(str(i), "u", bytes([31, 139, 8]) * 50 + b"x" * i, None) for i in range(5)]
     other = gzip.compress(b"not a WARC record " * 20)

@@ -37,7 +37,6 @@ MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SALTS = 16
 CHUNK = 1 << 20
-HEADER_LIMIT = 1 << 16
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -152,31 +151,29 @@ class RangeReader:
 
     def _member(self, pos: int, header_only: bool) -> tuple[dict[str, str], bytes, int] | None:
         """Headers, block and end of the member at ``pos``; None if there is none."""
-        inflate, parts, got, at, head = zlib.decompressobj(31), [], 0, pos, None
+        inflate, whole, at, head = zlib.decompressobj(31), bytearray(), pos, None
         try:
             while not inflate.eof:
                 chunk = self._at(at, 1 << 14 if header_only else 1 << 16)
                 if not chunk:
                     return None
-                parts.append(inflate.decompress(chunk))
-                got += len(parts[-1])
+                seen = max(0, len(whole) - 3)
+                whole += inflate.decompress(chunk)
                 at += len(chunk)
                 if head is None:
-                    joined = b"".join(parts)
-                    parts = [joined]
-                    cut = joined.find(b"\r\n\r\n")
+                    cut = whole.find(b"\r\n\r\n", seen)
                     if cut >= 0:
-                        head = _headers(joined[:cut])
+                        head = _headers(bytes(whole[:cut]))
                         if header_only:
                             return head, b"", at
-                    elif not joined.startswith(b"WARC/1."[: len(joined)]) or got > HEADER_LIMIT:
+                    elif not whole.startswith(b"WARC/1."[: len(whole)]):  # a header of any length is read, up to the member's end
                         return None
             if head is None:
                 return None
         except (zlib.error, ValueError, UnicodeDecodeError):
             return None
-        whole, size = b"".join(parts), int(head["content-length"])
-        block = whole[cut + 4 : cut + 4 + size]
+        size = int(head["content-length"])
+        block = bytes(memoryview(whole)[cut + 4 : cut + 4 + size])
         return (head, block, at - len(inflate.unused_data)) if len(block) == size else None
 
     def _next_start(self, pos: int) -> int | None:
