@@ -603,7 +603,7 @@ _START = {"means": [[2.0, 0.5], [4.5, 1.5]], "variances": [[1.0, 1.0], [1.0, 1.0
 
 @query()
 def op_mixture(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Operators 167 and 169-174: held against a plain fit in the tests."""
+    """Operators 167 and 169-174: held against a plain fit in the tests.  Stops after 15 rounds, converged or not (the operator's default is 100)."""
     x = _points(spark, sf_dir)
     m = latent.mixture_frame(x, latent.gaussian_mixture_em(x, [0.5, 0.5], max_iterations=15, **_START))
     return m.select(F.explode(F.arrays_zip("model.weights", "model.means", "model.variances")).alias("c"), "model.iterations", "model.log_likelihood", "model.converged").select("c.*", "iterations", "log_likelihood", "converged")
@@ -614,7 +614,7 @@ _CHAIN = {"initial": [0.6, 0.4], "transition": [[0.8, 0.2], [0.3, 0.7]]}
 
 @query()
 def op_hidden_markov(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Operators 168, 172-178: a model for each sequence, held against a plain fit in the tests."""
+    """Operators 168, 172-178: a model for each sequence, held against a plain fit in the tests.  Stops after 5 rounds, converged or not (the operator's default is 100)."""
     return latent.gaussian_hmm_em(_points(spark, sf_dir), ["user_id"], **_CHAIN, **_START, max_iterations=5).select("user_id", "model.*")
 
 
