@@ -68,14 +68,15 @@ def test_continuous_state():
 
 
 def test_drawdown_cycle():
-    price = np.array([100.0, 80.0, 85.0, 100.0])
-    assert k.drawdown_cycle_state(price, price / np.maximum.accumulate(price) - 1, np.ones(4, bool), 0.12, 0.05, 0.02).tolist() == [0, 2, 1, 0]
+    price = np.array([50.0, 51.0, 38.0, 36.0, 41.0, 43.5, 50.9, 30.0])
+    # 38 / 51 - 1 = -0.25 is deep; 41 / 36 - 1 = 0.14 rebounds; 50.9 / 51 - 1 = -0.002 has recovered; 30 is deep again
+    assert k.drawdown_cycle_state(price, price / np.maximum.accumulate(price) - 1, np.ones(8, bool), 0.2, 0.1, 0.01).tolist() == [0, 0, 2, 2, 1, 1, 0, 2]
 
 
 def test_extrema_on_plateaus_and_gaps():
-    x = np.array([1, 3, 3, 1, 2, 1, NAN, 2, 4, 1, 3])
-    out = k.local_extrema(x, 1, 1, 0, 0)
-    assert out[6] == -2 and out[1] == 1 and out[2] == 0 and out[8] == 1
+    x = np.array([7, 9, 9, 9, 5, 6, NAN, 8, 4, 4, 9, 2])
+    # before is strict and after is not: the first of the plateau is the peak; the missing row cuts the second run off
+    assert k.local_extrema(x, 1, 1, 0, 0).tolist() == [0, 1, 0, 0, -1, 0, -2, 0, -1, 0, 1, 0]
 
 
 @given(st.lists(st.floats(0.5, 2), min_size=5, max_size=40).map(np.array))
@@ -87,29 +88,84 @@ def test_turns_alternate_and_last(x):
     assert all(b - a >= 4 for a, b in zip(at, at[2:], strict=False))
 
 
-def test_reference_cycle_marks_decline_and_recovery():
-    start, end = np.array([0, 0, 2, 2, -1]), np.array([2, 2, 4, 4, -1])
-    out = k.drawdown_cycle_reference(np.array([1, 1, 0, 0, -1]), np.array([-0.5, -0.5, 0.3, 0.3, 0.0]), start, end, 0.2)
-    assert out.tolist() == [0, 2, 2, 1, 1]
+def plain_between(events):
+    """Segments between neighbouring events of opposite kinds, inside runs that -2 cuts."""
+    start, end = np.full(len(events), -1), np.full(len(events), -1)
+    last = None
+    for i, e in enumerate(events):
+        if e == -2:
+            last = None
+        elif e:
+            if last is not None and events[last] != e:
+                start[last:i], end[last:i] = last, i
+            last = i
+    return start, end
+
+
+def plain_reference(phases, changes, start, end, stress):
+    out = [-1] * len(phases)
+    stressed = False
+    for t in range(len(phases)):
+        r = int(end[t])
+        if start[t] != t or r <= t:
+            continue
+        if phases[t] not in (0, 1) or not math.isfinite(changes[t]):
+            stressed = False
+            continue
+        fall, rise = phases[t] == 1 and changes[t] <= -stress, phases[t] == 0 and stressed
+        out[t] = 2 if rise else max(out[t], 0)
+        out[t + 1 : r + 1] = [2 if fall else 1 if rise else 0] * (r - t)
+        stressed = fall
+    return out
+
+
+def test_phases_and_reference_cycles_equal_plain_loops(spark):
+    from tidemark.plans.compiler import evaluate
+    from tidemark.plans.frame import IntervalFrame
 
+    rng = np.random.default_rng(31)
+    rows = []
+    for p in range(25):
+        events = rng.choice([0, 0, 1, -1, -2], 30, p=[0.3, 0.15, 0.25, 0.25, 0.05])
+        changes = np.where(rng.random(30) < 0.1, NAN, rng.normal(0, 0.4, 30))
+        rows += [(p, i, int(e), float(c)) for i, (e, c) in enumerate(zip(events, changes, strict=True))]
+    f = IntervalFrame(spark.createDataFrame(rows, "p int, pos long, e long, c double"), ("p",))
+    s = "between_events(e)"
+    got = evaluate(f, {"s": f"segment_starts({s})", "t": f"segment_ends({s})", "phase": f"phase_direction(e, {s})", "ref": f"drawdown_cycle_reference(phase_direction(e, {s}), c, {s}, 0.25)"})
+    got = {(r.p, r.pos): (r.s, r.t, r.phase, r.ref) for r in got.collect()}
+    seen = set()
+    for p in range(25):
+        own = [r for r in rows if r[0] == p]
+        events = np.array([r[2] for r in own])
+        start, end = plain_between(events)
+        phase = [-1 if a < 0 else 0 if events[a] == -1 else 1 for a in start]
+        ref = plain_reference(phase, [r[3] for r in own], start, end, 0.25)
+        seen |= set(ref)
+        assert [got[p, i] for i in range(30)] == list(zip(start.tolist(), end.tolist(), phase, ref, strict=True))
+    assert seen == {-1, 0, 1, 2}
+
+
+def test_order_and_gather_equal_numpy(spark):
+    from tidemark.plans.compiler import evaluate
+    from tidemark.plans.frame import IntervalFrame
 
-def test_dense_algebra():
-    a = np.array([[4.0, 1, 2], [1, 3, 0], [2, 0, 5]])
-    b = np.arange(6.0).reshape(3, 2)
-    assert np.allclose(a @ matrix.lu_solve(a, b), b)
-    low = matrix.cholesky_of(a)
-    assert np.allclose(low @ low.T, a) and np.allclose(low @ matrix.back_substitute(low, b), b)
-    w, v = matrix.eigh_of(a)
-    assert np.allclose(a @ v, v * w) and all(v[np.abs(v[:, c]).argmax(), c] > 0 for c in range(3))
-    for bad, f in ((np.ones((2, 2)), lambda x: matrix.lu_solve(x, np.ones((2, 1)))), (-np.eye(2), matrix.cholesky_of), (np.array([[1.0, 2], [0, 1]]), matrix.cholesky_of)):
-        with pytest.raises(ValueError):
-            f(bad)
+    rng = np.random.default_rng(8)
+    x = [np.where(rng.random(n) < 0.2, NAN, rng.integers(0, 5, n).astype(float)) for n in (1, 7, 40)]
+    f = IntervalFrame(spark.createDataFrame([(p, i, float(v)) for p, a in enumerate(x) for i, v in enumerate(a)], "p int, pos long, x double"), ("p",))
+    got = {(r.p, r.pos): r for r in evaluate(f, {"o": "argsort(x)", "g": "gather(x, argsort(x))", "back": "gather(x, argsort(argsort(x)))"}).collect()}
+    for p, a in enumerate(x):
+        order = np.argsort(a, kind="stable")
+        assert [got[p, i].o for i in range(len(a))] == order.tolist()
+        assert np.array_equal([got[p, i].g for i in range(len(a))], a[order], equal_nan=True)
+        assert np.array_equal([got[p, i].back for i in range(len(a))], a[np.argsort(order)], equal_nan=True)
+    with pytest.raises(Exception, match="INDEX_OUT_OF_RANGE"):
+        evaluate(f, "gather(x, argsort(x) + 1)").collect()
 
 
 def plain_mixture(x, w, m, s, rounds):
     w, m, s = (np.array(v, float) for v in (w, m, s))
     for _ in range(rounds):
-        g = latent.density_of(x, m, s) + np.log(w)
+        g = np.log(w) - 0.5 * (((x[:, None] - m[None]) ** 2 / s[None]).sum(2) + np.log(s).sum(1) + x.shape[1] * np.log(2 * np.pi))
         z = np.log(np.exp(g).sum(1))
         p = np.exp(g - z[:, None])
         n = p.sum(0)
@@ -144,11 +200,66 @@ def test_chain_posteriors_by_enumeration():
     assert np.allclose(latent.filter_of(e, pi, a)[-1], want[-1])
 
 
-def test_chain_fit_raises_likelihood():
+def plain_chain(x, pi, a, m, s, rounds):
+    """Baum-Welch with logarithms, a step at a time; several sequences share one model."""
+    pi, a, m, s = (np.array(v, float) for v in (pi, a, m, s))
+    lse = lambda v, axis: np.logaddexp.reduce(v, axis=axis)
+    for _ in range(rounds):
+        first, xi, n, sx, parts, total = np.zeros(len(pi)), np.zeros(a.shape), np.zeros(len(pi)), np.zeros(m.shape), [], 0.0
+        for o in x:
+            e = -0.5 * (((o[:, None] - m[None]) ** 2 / s[None]).sum(2) + np.log(s).sum(1) + o.shape[1] * np.log(2 * np.pi))
+            f, b = np.zeros(e.shape), np.zeros(e.shape)
+            f[0] = np.log(pi) + e[0]
+            for t in range(1, len(o)):
+                f[t] = e[t] + lse(f[t - 1][:, None] + np.log(a), 0)
+            for t in range(len(o) - 2, -1, -1):
+                b[t] = lse(np.log(a) + (e[t + 1] + b[t + 1])[None], 1)
+            ll = lse(f[-1], 0)
+            g = np.exp(f + b - ll)
+            for t in range(len(o) - 1):
+                xi += np.exp(f[t][:, None] + np.log(a) + (e[t + 1] + b[t + 1])[None] - ll)
+            first, n, sx, total = first + g[0], n + g.sum(0), sx + g.T @ o, total + ll
+            parts.append((g, o))
+        pi = np.maximum(first, 1e-8) / np.maximum(first, 1e-8).sum()
+        a = np.maximum(xi, 1e-8)
+        a /= a.sum(1, keepdims=True)
+        m = sx / n[:, None]
+        s = np.maximum(sum(np.stack([(g[:, c : c + 1] * (o - m[c]) ** 2).sum(0) for c in range(len(m))]) for g, o in parts) / n[:, None], 1e-5)
+    return pi, a, m, s, total
+
+
+def test_chain_fits_equal_a_plain_fit(spark):
     rng = np.random.default_rng(6)
-    x = np.concatenate([rng.normal(0, 1, (30, 1)), rng.normal(5, 1, (30, 1))])
-    lls = [latent.fit_chain(x, [0.5, 0.5], [[0.9, 0.1], [0.1, 0.9]], [[0.0], [4.0]], [[1.0], [1.0]], n, 0.0).log_likelihood for n in (1, 2, 4)]
-    assert lls[0] <= lls[1] <= lls[2]
+    x = [np.concatenate([rng.normal(0, 1, (n, 2)), rng.normal(3, 1, (2 * n, 2))]) for n in (1, 3, 9, 4, 30)]
+    start = ([0.5, 0.5], [[0.9, 0.1], [0.2, 0.8]], [[0.0, 0.5], [2.0, 2.0]], [[1.0, 1.0], [2.0, 1.0]])
+    rows = [(None if k == 3 else k, i, v.tolist()) for k, o in enumerate(x) for i, v in enumerate(o)]
+    df = spark.createDataFrame(rows, "k int, i long, x array<double>").repartition(5)
+    got = {r.k: r.model for r in latent.gaussian_hmm_em(df, ["k"], *start, max_iterations=4, tolerance=0.0).collect()}
+    assert set(got) == {0, 1, 2, None, 4}
+    for k, o in enumerate(x):
+        want, own = plain_chain([o], *start, 4), got[None if k == 3 else k]
+        for a, b in zip((own.initial, own.transition, own.means, own.variances, own.log_likelihood), want, strict=True):
+            assert np.allclose(a, b, atol=1e-7)
+    shared = latent.gaussian_hmm_em_shared(df, ["k"], *start, max_iterations=4, tolerance=0.0)
+    own, want = shared.first().model, plain_chain(x, *start, 4)
+    for a, b in zip((own.initial, own.transition, own.means, own.variances, own.log_likelihood), want, strict=True):
+        assert np.allclose(a, b, atol=1e-7)
+    assert latent.hmm_means(shared).first().means == own.means and latent.em_iterations(shared).first().iterations == 4
+    lls = [latent.fit_chain(x[4], *start, n, 0.0).log_likelihood for n in (1, 2, 4)]
+    assert lls[0] <= lls[1] <= lls[2] and latent.fit_chain(x[4], *start, 200, 1e-3).converged
+
+
+def test_moments_with_missing_cells_equal_numpy(spark):
+    rng = np.random.default_rng(19)
+    x = np.where(rng.random((60, 4)) < 0.15, NAN, rng.normal(1e6, 1.0, (60, 4)))
+    cells = [(i, j, float(x[i, j])) for i in range(60) for j in range(4) if not math.isnan(x[i, j])]
+    df = spark.createDataFrame(cells, "i long, j long, v double").repartition(6)
+    cov, cor = ({(r.i, r.j): r.v for r in f(df).collect()} for f in (matrix.covariance, matrix.correlation))
+    for a in range(4):
+        for b in range(4):
+            both = ~np.isnan(x[:, a]) & ~np.isnan(x[:, b])
+            c = np.cov(x[both, a], x[both, b])
+            assert cov[a, b] == pytest.approx(c[0, 1], abs=1e-8) and cor[a, b] == pytest.approx(c[0, 1] / np.sqrt(c[0, 0] * c[1, 1]), abs=1e-8)
 
 
 def test_sampling_is_distinct_and_fixed():

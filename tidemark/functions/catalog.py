@@ -133,7 +133,7 @@ _OPERATORS = """
 120 aligned_shift(values[, periods][, fill]) W
 121 recursive_filter(values, alpha, initial, update_mask[, seed_mode][, emit_policy]) K
 122 argsort(values) W
-123 gather(values, indices) J
+123 gather(values, indices) W
 124 distinct_count(identifiers[, mask]) A
 125 floor(values) E
 126 cos(values) E
@@ -154,7 +154,7 @@ _OPERATORS = """
 141 between_events(events) W
 142 segment_starts(segments) E
 143 segment_ends(segments) E
-144 phase_direction(events, segments) J
+144 phase_direction(events, segments) W
 145 drawdown_cycle_reference(phases, changes, segments, stress) W
 146 state_select(condition, when_true, when_false, valid) E
 147 cholesky(matrix) K

@@ -52,8 +52,13 @@ sum_asset, mean_asset, product_asset, variance_asset, std_asset, min_asset, max_
 )
 
 
-def sum_axis(values: DataFrame, axis: str) -> DataFrame:
-    return along(values, axis, "sum")
+def sum_axis(values: DataFrame, axis: str, lines: DataFrame | None = None) -> DataFrame:
+    """Sums along an axis.  ``lines`` (the other index columns) names all lines: those without a cell sum to 0."""
+    out = along(values, axis, "sum")
+    if lines is None:
+        return out
+    rest = _rest(values, axis)
+    return lines.select(*rest).distinct().join(out, rest, "left").select(*rest, F.coalesce(V, F.lit(0.0)).alias(V))
 
 
 def mean_axis(values: DataFrame, axis: str) -> DataFrame:
@@ -152,11 +157,14 @@ def stack(lhs: DataFrame, rhs: DataFrame, axis: str = "component") -> DataFrame:
 def broadcast_like(values: DataFrame, template: DataFrame) -> DataFrame:
     """The values at every cell of the template; axes that the values lack, or have one line of, are repeated."""
     shared = [c for c in indices(values) if c in indices(template)]
-    cells = template.select(indices(template))
-    single = [c for c in shared if values.agg(F.count_distinct(c)).first()[0] == 1]
-    kept = [c for c in shared if c not in single]
-    own = values.select(*kept, V)
-    return cells.join(own, kept) if kept else cells.crossJoin(own)
+    if not shared:
+        return template.select(indices(template)).crossJoin(values.select(V))
+    # an axis with one line gets the same key on both sides; one row tells which those are
+    single = F.broadcast(values.agg(*[(F.min(c) == F.max(c)).alias(f"_{c}") for c in shared]))
+    key = [F.when(~F.col(f"_{c}"), F.col(c)).otherwise(F.lit(-1)).alias(f"_k{c}") for c in shared]
+    own = values.crossJoin(single).select(*key, V)
+    cells = template.select(indices(template)).crossJoin(single).select(*indices(template), *key)
+    return cells.join(own, [f"_k{c}" for c in shared]).select(*indices(template), V)
 
 
 def scatter_rows(values: DataFrame, places: DataFrame, length: int, fill: float = float("nan")) -> DataFrame:

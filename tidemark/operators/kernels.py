@@ -254,49 +254,6 @@ def ps_filter(price, events, min_phase, min_cycle, amplitude):
     return out
 
 
-def phase_direction(events, start, end):
-    out = np.full(len(events), -1, np.int64)
-    ok = start >= 0
-    x, y = events[start[ok]], events[end[ok]]
-    out[ok] = np.where((x == -1) & (y == 1), 0, np.where((x == 1) & (y == -1), 1, -1))
-    return out
-
-
-def drawdown_cycle_reference(phases, changes, start, end, stress):
-    out = np.full(len(phases), -1, np.int64)
-    stressed, t = False, 0
-    while t < len(phases):
-        r = int(end[t])
-        if start[t] != t or r <= t:
-            t += 1
-            continue
-        if phases[t] not in (0, 1) or not math.isfinite(changes[t]):
-            stressed, t = False, r
-            continue
-        out[t] = max(out[t], 0)
-        out[t + 1 : r + 1] = 0
-        if phases[t] == 1:
-            stressed = changes[t] <= -stress
-            if stressed:
-                out[t + 1 : r + 1] = 2
-        else:
-            if stressed:
-                out[t], out[t + 1 : r + 1] = 2, 1
-            stressed = False
-        t = r
-    return out
-
-
-def argsort(x):
-    return np.argsort(x, kind="stable").astype(np.int64)
-
-
-def gather(x, indices):
-    if len(indices) and (indices.min() < 0 or indices.max() >= len(x)):
-        raise ValueError("INDEX_OUT_OF_RANGE")
-    return x[indices]
-
-
 @dataclass(frozen=True)
 class Kernel:
     run: Callable
@@ -321,6 +278,4 @@ KERNELS: dict[str, Kernel] = {
     "drawdown_cycle_state": Kernel(drawdown_cycle_state, 3, integer=True, order=(0, 1, 2, 3, 4, 5)),
     "local_extrema": Kernel(local_extrema, 1, integer=True, order=(0, 1, 2, 3, 4)),
     "ps_filter": Kernel(ps_filter, 2, integer=True, order=(0, 1, 2, 3, 4)),
-    "argsort": Kernel(argsort, 1, integer=True, order=(0,)),
-    "gather": Kernel(gather, 2, order=(0, 1)),
 }

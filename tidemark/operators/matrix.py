@@ -1,17 +1,18 @@
 """Linear algebra on long matrices (i, j, v) and vectors (i, v).
 
-Products, traces, covariances and contractions are joins and partial aggregations.  Factorisations need a whole
-matrix at a time: they run in a grouped Arrow task for each key of ``by``.
+Products, traces and contractions are joins and partial aggregations; covariances sum a partial d x d matrix a task.
+Factorisations need a whole matrix at a time: they run in a grouped Arrow task for each key of ``by``, and ``Dense`` runs
+several of them in one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.axes import V, _raise_if
@@ -64,23 +65,72 @@ def trace(values: DataFrame) -> DataFrame:
     return values.agg(F.coalesce(F.sum(F.when(F.col("i") == F.col("j"), F.col(V))), F.lit(0.0)).alias(V))
 
 
-def _pairs(values: DataFrame, f: Callable) -> DataFrame:
-    half = _side(values, j="a").join(_side(values, j="b", v="w"), "i").where("a <= b").groupBy("a", "b").agg(f(F.col(V), F.col("w")).alias(V))
-    both = F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
-    return half.select(both.alias("p"), V).select(F.col("p.a").alias("i"), F.col("p.b").alias("j"), V)
+BLOCK = 1 << 20  # cells that a task holds at a time
+
+
+def _moments(values: DataFrame) -> DataFrame:
+    """a <= b, n, ma, mb, cab, ca, cb: for each pair of columns the rows that have both, their means and centred products."""
+    names = ["a", "b", "n", "ma", "mb", "cab", "ca", "cb"]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def block(t: pa.Table) -> pa.RecordBatch:
+            i, j, v = (t.column(c).to_numpy() for c in ("i", "j", V))
+            (_, at), (own, to) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+            there, x = np.zeros((at.max() + 1, len(own))), np.zeros((at.max() + 1, len(own)))
+            there[at, to], x[at, to] = 1.0, v
+            bad = np.isnan(x).astype(float)
+            x = np.where(np.isnan(x), 0.0, x)
+            shift = x.sum(0) / np.maximum(there.sum(0), 1.0)
+            x = (x - shift) * there
+            n = there.T @ there
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ma = (x.T @ there) / n
+                mb = ma.T
+                spoilt = (bad.T @ there + there.T @ bad) > 0
+                cab = np.where(spoilt, np.nan, x.T @ x - n * ma * mb)
+                ca = np.where(spoilt, np.nan, (x * x).T @ there - n * ma * ma)
+            p, q = np.nonzero(np.triu(n > 0))
+            whole = (own[p], own[q], n[p, q], ma[p, q] + shift[p], mb[p, q] + shift[q], cab[p, q], ca[p, q], ca.T[p, q])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in whole], names)
+
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows > BLOCK:
+                t = pa.Table.from_batches(held)
+                i = t.column("i").to_numpy()
+                end = int(np.searchsorted(i, i[-1]))  # the last row may go on
+                if end:
+                    yield block(t.slice(0, end))
+                    held, rows = t.slice(end).to_batches(), t.num_rows - end
+        if rows:
+            yield block(pa.Table.from_batches(held))
+
+    src = values.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col(V).cast("double").alias(V)).repartition("i").sortWithinPartitions("i")
+    parts = src.mapInArrow(partial, "a long, b long, n double, ma double, mb double, cab double, ca double, cb double")
+    w = Window.partitionBy("a", "b")
+    for c in ("ma", "mb"):
+        parts = parts.withColumn("d" + c, F.col(c) - F.sum(F.col("n") * F.col(c)).over(w) / F.sum("n").over(w))
+    joined = lambda c, x, y: F.sum(F.col(c) + F.col("n") * F.col(x) * F.col(y)).alias(c)
+    return parts.groupBy("a", "b").agg(F.sum("n").alias("n"), joined("cab", "dma", "dmb"), joined("ca", "dma", "dma"), joined("cb", "dmb", "dmb"))
+
+
+def _mirrored(values: DataFrame, v: Column) -> DataFrame:
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return _moments(values).select(F.explode(both).alias("p"), v.alias(V)).select(F.col("p.a").alias("i"), F.col("p.b").alias("j"), V)
 
 
 def covariance(values: DataFrame) -> DataFrame:
-    """Sample covariances of the columns of a time x asset matrix."""
-    return _pairs(values, lambda x, y: _raise_if(F.count(x) < 2, "INSUFFICIENT_SAMPLE", F.covar_samp(x, y)))
+    """Sample covariances of the columns of a time x asset matrix, a pair over the rows that have both."""
+    return _mirrored(values, _raise_if(F.col("n") < 2, "INSUFFICIENT_SAMPLE", F.col("cab") / F.when(F.col("n") > 1, F.col("n") - 1)))
 
 
 def correlation(values: DataFrame) -> DataFrame:
-    def f(x, y):  # noqa: ANN001, ANN202
-        sd = F.stddev_samp(x) * F.stddev_samp(y)
-        return _raise_if((F.count(x) < 2) | (sd <= 0), "NON_FINITE_RESULT", F.covar_samp(x, y) / F.when(sd > 0, sd))
-
-    return _pairs(values, f)
+    sd = F.sqrt(F.col("ca")) * F.sqrt(F.col("cb"))
+    return _mirrored(values, _raise_if((F.col("n") < 2) | (sd <= 0), "NON_FINITE_RESULT", F.col("cab") / F.when(sd > 0, sd)))
 
 
 def affine_contract(values: DataFrame, coefficients: DataFrame, initial: DataFrame) -> DataFrame:
@@ -125,11 +175,37 @@ def cholesky_of(a: np.ndarray) -> np.ndarray:
         raise ValueError("NOT_POSITIVE_DEFINITE") from e
 
 
-def eigh_of(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending eigenvalues; each vector's first component of largest size is positive."""
+def jacobi(a: np.ndarray, tolerance: float, max_sweeps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cyclic rotations until no element off the diagonal is over ``tolerance`` times the largest of the matrix."""
+    m, v = a.astype(float), np.eye(len(a))
+    scale = np.abs(m).max(initial=0.0)
+    for sweep in range(max_sweeps + 1):
+        if np.abs(m - np.diag(np.diag(m))).max(initial=0.0) <= tolerance * scale:
+            return np.diag(m).copy(), v
+        if sweep == max_sweeps:
+            break
+        for p in range(len(m) - 1):
+            for q in range(p + 1, len(m)):
+                if m[p, q] == 0:
+                    continue
+                angle = 0.5 * np.arctan2(2 * m[p, q], m[q, q] - m[p, p])
+                turn = np.array([[np.cos(angle), np.sin(angle)], [-np.sin(angle), np.cos(angle)]])
+                m[:, [p, q]] = m[:, [p, q]] @ turn
+                m[[p, q]] = turn.T @ m[[p, q]]
+                v[:, [p, q]] = v[:, [p, q]] @ turn
+    raise ValueError("NON_CONVERGENCE")
+
+
+def eigh_of(a: np.ndarray, tolerance: float | None = None, max_sweeps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending eigenvalues; each vector's first component of largest size is positive.  With limits, by rotations that keep to them."""
     if not np.isfinite(a).all() or not (a == a.T).all():
         raise ValueError("DOMAIN_ERROR")
-    w, v = np.linalg.eigh(a)
+    if tolerance is None and max_sweeps is None:
+        w, v = np.linalg.eigh(a)
+    else:
+        w, v = jacobi(a, 1e-12 if tolerance is None else tolerance, 32 if max_sweeps is None else max_sweeps)
+        order = np.argsort(w, kind="stable")
+        w, v = w[order], v[:, order]
     at = np.abs(np.round(v, 12)).argmax(0)
     return w, v * np.where(v[at, np.arange(len(w))] < 0, -1.0, 1.0)
 
@@ -142,32 +218,65 @@ def _dense(frame: pa.Table, name: str) -> np.ndarray:
     return out
 
 
-def _grouped(parts: dict[str, DataFrame], by: list[str], run: Callable[..., dict[str, np.ndarray]]) -> DataFrame:
-    """Runs on the dense parts of each key; every result matrix comes back long, named by ``part``."""
-    frames = [df.select(*by, F.lit(n).alias("part"), "i", (F.col("j") if "j" in df.columns else F.lit(0)).cast("long").alias("j"), V) for n, df in parts.items()]
-    whole = frames[0]
-    for f in frames[1:]:
-        whole = whole.unionByName(f)
-    key_types = [whole.schema[c] for c in by]
-    names = list(parts)
-
-    def kernel(t: pa.Table) -> pa.Table:
-        made = run(*[_dense(t, n) for n in names])
-        rows = {"part": [], "i": [], "j": [], V: []}
-        for n, m in made.items():
-            m = m.reshape(len(m), -1)
-            at = np.indices(m.shape).reshape(2, -1)
-            rows["part"] += [n] * m.size
-            rows["i"].append(at[0])
-            rows["j"].append(at[1])
-            rows[V].append(m.reshape(-1))
-        out = {c: pa.array([t.column(c)[0].as_py()] * len(rows["part"]), t.column(c).type) for c in by}
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0)
-        return pa.table(out | {"part": pa.array(rows["part"], pa.string()), "i": pa.array(cat(rows["i"]).astype(np.int64)), "j": pa.array(cat(rows["j"]).astype(np.int64)), V: pa.array(cat(rows[V]).astype(float))})
-
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in key_types] + ["part string", "i long", "j long", "v double"])
-    grouped = whole.groupBy(*by) if by else whole.withColumn("_one", F.lit(1)).groupBy("_one")
-    return grouped.applyInArrow(kernel, schema)
+class Dense:
+    """Dense operators on the matrices of each key of ``by``, all in one grouped task.
+
+    ``parts`` are long matrices or vectors by name; operators name their inputs and their result, and may use earlier results.
+    """
+
+    def __init__(self, by: list[str] | None = None, **parts: DataFrame) -> None:
+        self.by, self.parts, self.steps = by or [], parts, []
+
+    def _step(self, out: str, run: Callable, *args: str) -> Dense:
+        self.steps.append((out if isinstance(out, tuple) else (out,), run, args))
+        return self
+
+    def solve(self, out: str, matrix: str, rhs: str) -> Dense:
+        return self._step(out, lu_solve, matrix, rhs)
+
+    def triangular_solve(self, out: str, matrix: str, rhs: str, lower: int = 1, unit_diagonal: int = 0) -> Dense:
+        return self._step(out, lambda a, b: back_substitute(a, b, bool(lower), bool(unit_diagonal)), matrix, rhs)
+
+    def cholesky(self, out: str, matrix: str) -> Dense:
+        return self._step(out, cholesky_of, matrix)
+
+    def symmetric_eigh(self, values: str, vectors: str, matrix: str, tolerance: float | None = None, max_sweeps: int | None = None) -> Dense:
+        if (tolerance is not None and not tolerance > 0) or (max_sweeps is not None and (max_sweeps < 1 or max_sweeps != int(max_sweeps))):
+            raise ValueError("INVALID_PARAMETER")
+        return self._step((values, vectors), lambda a: eigh_of(a, tolerance, max_sweeps), matrix)
+
+    def run(self) -> DataFrame:
+        """by..., part (the result's name), i, j, v."""
+        whole = None
+        for n, df in self.parts.items():
+            one = df.select(*self.by, F.lit(n).alias("part"), "i", (F.col("j") if "j" in df.columns else F.lit(0)).cast("long").alias("j"), V)
+            whole = one if whole is None else whole.unionByName(one)
+        return self.over(whole)
+
+    def over(self, whole: DataFrame) -> DataFrame:
+        """The same on one frame by..., part, i, j, v that holds all parts."""
+        by, steps = self.by, list(self.steps)
+        key_types = [whole.schema[c] for c in by]
+
+        def kernel(t: pa.Table) -> pa.Table:
+            env: dict[str, np.ndarray] = {}
+            made: dict[str, np.ndarray] = {}
+            for out, run, args in steps:
+                for a in args:
+                    if a not in env:
+                        env[a] = _dense(t, a)
+                got = run(*[env[a] for a in args])
+                for name, m in zip(out, got if isinstance(got, tuple) else (got,), strict=True):
+                    env[name] = made[name] = m.reshape(len(m), -1)
+            at = [np.indices(m.shape).reshape(2, -1) for m in made.values()]
+            cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+            names = [n for n, m in made.items() for _ in range(m.size)]
+            out = {c: pa.array([t.column(c)[0].as_py()] * len(names), t.column(c).type) for c in by}
+            return pa.table(out | {"part": pa.array(names, pa.string()), "i": cat([x[0] for x in at], np.int64), "j": cat([x[1] for x in at], np.int64), V: cat([m.reshape(-1) for m in made.values()], float)})
+
+        schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in key_types] + ["part string", "i long", "j long", "v double"])
+        grouped = whole.groupBy(*by) if by else whole.withColumn("_one", F.lit(1)).groupBy("_one")
+        return grouped.applyInArrow(kernel, schema)
 
 
 def _part(df: DataFrame, name: str, by: list[str], vector: bool = False) -> DataFrame:
@@ -176,28 +285,24 @@ def _part(df: DataFrame, name: str, by: list[str], vector: bool = False) -> Data
 
 
 def solve(matrix: DataFrame, rhs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    by = by or []
-    return _part(_grouped({"a": matrix, "b": rhs}, by, lambda a, b: {"x": lu_solve(a, b)}), "x", by, True)
+    return _part(Dense(by, a=matrix, b=rhs).solve("x", "a", "b").run(), "x", by or [], True)
 
 
 def solve_multi(matrix: DataFrame, rhs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    by = by or []
-    return _part(_grouped({"a": matrix, "b": rhs}, by, lambda a, b: {"x": lu_solve(a, b)}), "x", by)
+    return _part(Dense(by, a=matrix, b=rhs).solve("x", "a", "b").run(), "x", by or [])
 
 
 def triangular_solve(matrix: DataFrame, rhs: DataFrame, lower: int = 1, unit_diagonal: int = 0, by: list[str] | None = None) -> DataFrame:
-    by = by or []
-    return _part(_grouped({"a": matrix, "b": rhs}, by, lambda a, b: {"x": back_substitute(a, b, bool(lower), bool(unit_diagonal))}), "x", by)
+    return _part(Dense(by, a=matrix, b=rhs).triangular_solve("x", "a", "b", lower, unit_diagonal).run(), "x", by or [])
 
 
 def cholesky(matrix: DataFrame, by: list[str] | None = None) -> DataFrame:
-    by = by or []
-    return _part(_grouped({"a": matrix}, by, lambda a: {"l": cholesky_of(a)}), "l", by)
+    return _part(Dense(by, a=matrix).cholesky("l", "a").run(), "l", by or [])
 
 
-def symmetric_eigh(matrix: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The decomposition, long: part is ``values`` or ``vectors``."""
-    return _grouped({"a": matrix}, by or [], lambda a: dict(zip(("values", "vectors"), eigh_of(a), strict=True)))
+def symmetric_eigh(matrix: DataFrame, by: list[str] | None = None, tolerance: float | None = None, max_sweeps: int | None = None) -> DataFrame:
+    """The decomposition, long: part is ``values`` or ``vectors``.  Limits choose cyclic rotations, which fail with NON_CONVERGENCE beyond them."""
+    return Dense(by, a=matrix).symmetric_eigh("values", "vectors", "a", tolerance, max_sweeps).run()
 
 
 def eigenvalues(decomposition: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -3,7 +3,8 @@
 All roots share a hash-consed graph: equal sub-expressions are computed once.  Element-wise nodes stay
 expressions.  Window nodes are added stage by stage, all of one depth in one projection over one partitioning and order.
 Reductions that only feed scalars end in a single groupBy with partial aggregation; those that feed
-series become windows.  Sequential nodes of one depth run in one grouped Arrow task.
+series become windows.  Sequential nodes of one depth run in one grouped Arrow task.  Scopes are child plans over
+finer groups of the same rows: their key is added to the partitioning columns, so that they need a sort but no other shuffle.
 
 ``error_policy="raise"`` fails the query where an operator has no value; ``"isolate"`` gives NaN and a
 status column per root: 0 fine, 2 division by a scalar zero, 3 scalar domain error, 4 any other failure.
@@ -17,6 +18,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,14 +26,16 @@ from pyspark.sql.types import StructType
 
 from tidemark.functions.catalog import ALIASES, CATALOG
 from tidemark.functions.reduce import FIT, REDUCTIONS
-from tidemark.functions.scalar import BOOLEAN, ELEMENTWISE, erfc_of_column, finite, let, nan
-from tidemark.operators.kernels import KERNELS, drawdown_cycle_reference, phase_direction
+from tidemark.functions.scalar import BOOLEAN, ELEMENTWISE, erfc_of_column, finite, nan
+from tidemark.operators.kernels import KERNELS
+from tidemark.plans import numeric
 from tidemark.plans.expr import Call, ExpressionError, Name, Node, Number, parse
 from tidemark.plans.expr import names as names_of
 from tidemark.plans.frame import POS, IntervalFrame
 
 SCALAR, SERIES, RECORD, WINDOW = "scalar", "series", "record", "window"
 STATUS = {"DIVIDE_BY_ZERO": 2, "DOMAIN_ERROR": 3}
+SOLVER = {1: "INVALID_PARAMETER", 2: "NONFINITE_RESULT", 3: "ROOT_NOT_BRACKETED", 4: "NON_CONVERGENCE"}
 REWRITES = {
     "mean_absolute_deviation": "mean(absolute(a - mean(a)))",
     "total_return": "product(a + 1) - 1",
@@ -53,7 +57,7 @@ class Value:
     level: int = 0
     status: Column | None = None
     fields: dict[str, Value] = field(default_factory=dict)
-    drop: int = 0  # rows at the end that the series doesn't have
+    drop: object = 0  # rows at the end that the series doesn't have; series mix only where these are equal
     reduction: Callable[[Callable], tuple] | None = None  # delayed: a group or a window form
     parents: tuple[Value, ...] = ()
     name: str = ""
@@ -64,6 +68,31 @@ class Value:
     weight: int = 1  # about the size of the expression
 
 
+@dataclass(eq=False)
+class Child:
+    """A scope: how rows enter its groups, its plan, and the values that its bodies leave on each row."""
+
+    plan: Plan
+    key: str
+    level: int  # where its values exist in the plan around it
+    enter: Callable[[DataFrame, str], DataFrame]
+    leave: Callable[[DataFrame, str, list[str]], DataFrame]
+    bodies: list[tuple[str, Column]] = field(default_factory=list)
+    keeps: list[Column] = field(default_factory=list)  # its own columns that the plan around it reads
+    dense: bool = False
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        outer = self.key + "p"
+        inner = self.enter(df.withColumn(outer, F.col(POS)), self.key)
+        if self.dense:
+            at = Window.partitionBy(*self.plan.frame.keys).orderBy(outer)
+            inner = inner.select(*[c for c in inner.columns if c != POS], (F.row_number().over(at) - 1).cast("long").alias(POS))
+        inner = self.plan._staged(inner)
+        names = [n for n, _ in self.bodies]
+        inner = self.leave(inner.select("*", *[c.alias(n) for n, c in self.bodies]), self.key, names)
+        return inner.select(*[F.col(outer if c == POS else c).alias(c) for c in df.columns], *self.keeps, *names)
+
+
 class Plan:
     """A compiled set of roots over a frame."""
 
@@ -72,13 +101,17 @@ class Plan:
             raise ValueError("error_policy is raise or isolate")
         self.frame, self.fields, self.policy = frame, fields, error_policy
         self.parameters, self.memo, self.values = dict(parameters or {}), {}, []
-        self.stages: dict[int, list[tuple[str, Callable[[], Column]]]] = {}
+        self.types = dict(frame.data.dtypes)
+        self.stages: dict[int, list[tuple[str, Column]]] = {}
         self.kernels: dict[int, list[tuple[list[str], list[Value], Callable, tuple[str, ...]]]] = {}
+        self.transforms: dict[int, list[Callable[[DataFrame], DataFrame]]] = {}
+        self.children: dict[tuple, Child] = {}
         self.locals: dict[str, Value] = {}
         self.bindings: dict[str, Node] = {}
+        self.used: set[str] = set()
         self.frame_mask: Column | None = None
+        self.mask_level, self.pos_name = 0, POS
         self.frame_rows: tuple[int, int] | None = None
-        self.frame_keys: tuple[str, ...] = ()
 
     # -- graph ---------------------------------------------------------------
 
@@ -91,7 +124,7 @@ class Plan:
         return self.memo[key]
 
     def _scope_key(self) -> tuple:
-        return (self.frame_rows, self.frame_keys, id(self.frame_mask) if self.frame_mask is not None else None, tuple(sorted((k, id(v)) for k, v in self.locals.items())))
+        return (self.frame_rows, id(self.frame_mask) if self.frame_mask is not None else None, tuple(sorted((k, id(v)) for k, v in self.locals.items())))
 
     def _make(self, tree: Node) -> Value:
         if isinstance(tree, Number):
@@ -103,15 +136,16 @@ class Plan:
                 return self.node(self.bindings[tree.name])
             if tree.name in self.fields:
                 c = F.col(tree.name)
+                self.used.add(tree.name)
                 masked = c if self.frame_mask is None else F.when(self.frame_mask, c)
-                kind = dict(self.frame.data.dtypes)[tree.name]
-                return Value(SERIES, masked, self._mask_level(), dtype="boolean" if kind == "boolean" else "long" if kind in ("bigint", "int") else "double")
+                kind = self.types[tree.name]
+                return Value(SERIES, masked, self.mask_level if self.frame_mask is not None else 0, dtype="boolean" if kind == "boolean" else "long" if kind in ("bigint", "int") else "double")
             if tree.name in self.parameters:
                 v = float(self.parameters[tree.name])
                 return Value(SCALAR, F.lit(v), literal=v)
             raise ExpressionError(f"unknown name {tree.name}")
         if tree.function in _SCOPES:
-            return getattr(self, "_" + tree.function)(*tree.args)
+            return getattr(self, "_" + tree.function.replace(" ", "_"))(*tree.args)
         if tree.function not in CATALOG:
             raise ExpressionError(f"unknown function {tree.function}")
         op = CATALOG[tree.function]
@@ -130,15 +164,7 @@ class Plan:
         raise ExpressionError(f"{op.name} works on matrices; use tidemark.operators.matrix or tidemark.operators.latent")
 
     def _inline(self, body: Node, binding: dict[str, Node]) -> Value:
-        def put(n: Node) -> Node:
-            if isinstance(n, Name):
-                return binding.get(n.name, n)
-            return Call(n.function, tuple(map(put, n.args))) if isinstance(n, Call) else n
-
-        return self.node(put(body))
-
-    def _mask_level(self) -> int:
-        return getattr(self, "mask_level", 0) if self.frame_mask is not None else 0
+        return self.node(_put(body, binding))
 
     @staticmethod
     def _level(args: list[Value]) -> int:
@@ -167,9 +193,12 @@ class Plan:
 
     def _elementwise(self, name: str, args: list[Value]) -> Value:
         kind = SERIES if any(a.kind == SERIES for a in args) else SCALAR
-        drops = {a.drop for a in args if a.kind == SERIES}
-        if len(drops) > 1:
-            raise ExpressionError(f"{name} mixes series of different lengths")
+        drop = _common_drop(name, args)
+        if args and all(a.literal is not None for a in args) and name in numeric.ELEMENT and name not in BOOLEAN:
+            with np.errstate(all="ignore"):
+                folded = float(numeric.ELEMENT[name](*[a.literal for a in args]))
+            if math.isfinite(folded):
+                return Value(SCALAR, F.lit(folded), literal=folded)
         dtype = "boolean" if name in BOOLEAN else "long" if name == "state_select" else "double"
         if name in ("where",) and all(a.dtype == args[1].dtype for a in args[1:]):
             dtype = args[1].dtype
@@ -192,18 +221,6 @@ class Plan:
             return Value(SERIES, 0.5 * erfc_of_column(z), level, args[0].status, drop=args[0].drop, parents=tuple(args))
         columns = [self._read_series(a) for a in args]
         size = sum(a.weight for a in args)
-        if self.policy == "quiet":  # inside a lambda: failures are NaN, and large arguments are bound to a name
-
-            def form(*c: Column) -> Column:
-                value, failed, _ = ELEMENTWISE[name](*c)
-                return value if failed is None else F.when(failed, nan()).otherwise(value)
-
-            if size > HEAVY and name not in LINEAR:
-                parts = F.struct(*[c.alias(f"a{i}") for i, c in enumerate(columns)])
-                column, size = let(parts, lambda t: form(*[t[f"a{i}"] for i in range(len(columns))])), size + 8
-            else:
-                column, size = form(*columns), size * (1 if name in LINEAR else 3) + 1
-            return Value(kind, column, self._level(args), drop=max(drops, default=0), parents=tuple(args), dtype=dtype, weight=size)
         if size > HEAVY and name not in LINEAR:
             for a in args:
                 self._settle(a)
@@ -211,7 +228,7 @@ class Plan:
         value, failed, error = ELEMENTWISE[name](*columns)
         column, status = self._guard(value, failed, error, args, kind == SCALAR, dtype)
         size = size * (1 if name in LINEAR and self.policy == "raise" else 3) + 1
-        return Value(kind, column, self._level(args), status, drop=max(drops, default=0), parents=tuple(args), dtype=dtype, weight=size)
+        return Value(kind, column, self._level(args), status, drop=drop, parents=tuple(args), dtype=dtype, weight=size)
 
     def _settle(self, v: Value) -> None:
         """Turns a large series expression into a column of its own stage, so that operators that name it often stay small."""
@@ -250,15 +267,18 @@ class Plan:
     def _spec(self):
         if self.frame_rows is not None:
             return self.frame.ordered().rowsBetween(*self.frame_rows)
-        return Window.partitionBy(*self.frame.keys, *self.frame_keys)
+        return self.frame.partition()
 
     def _reduction(self, name: str, args: list[Value]) -> Value:
-        pos = self._pos()
+        pos = F.col(self.pos_name)
+        if name in PROBABILITY:
+            p = self._literal(args[-1], name)
+            if not 0 < p < 1:
+                raise ExpressionError(f"INVALID_PARAMETER: {name} takes 0 < probability < 1")
+        if name in ("variance", "std") and len(args) > 1:
+            self._whole(args[1], name, 0)
         return self._reduce(lambda o: REDUCTIONS[name](pos, o, *[self._read_series(a) for a in args]), args)
 
-    def _pos(self) -> Column:
-        return F.col(getattr(self, "pos_name", POS))
-
     def _reduce(self, form: Callable, args: list[Value], dtype: str = "double") -> Value:
         inner = [a for a in args if a.kind in (SERIES, SCALAR)]
         for a in inner:
@@ -277,7 +297,7 @@ class Plan:
             return F.when(status == 0, value).otherwise(nan()), status
 
         v = Value(SCALAR, None, self._level(inner), reduction=build, parents=tuple(inner), dtype=dtype)
-        if self.frame_rows is not None or self.frame_keys:
+        if self.frame_rows is not None:
             v.column, v.status = self._windowed(v)
             v.kind, v.reduction = SERIES, None
         return v
@@ -304,14 +324,14 @@ class Plan:
         c = self._stage(value, level)
         if status is not None:
             c = F.when(status == 0, c).otherwise({"double": nan(), "boolean": F.lit(False), "long": F.lit(0).cast("long")}[dtype])
-        return Value(SERIES, c, level, status, drop=max((a.drop for a in args if a.kind == SERIES), default=0) if drop is None else drop, parents=tuple(args), dtype=dtype)
+        return Value(SERIES, c, level, status, drop=_common_drop("a window", args) if drop is None else drop, parents=tuple(args), dtype=dtype)
 
     def _kernel(self, name: str, args: list[Value]) -> Value:
         k = KERNELS[name]
         given = [args[i] if i < len(args) else None for i in k.order]
         series = given[: k.series]
         constants = [k.defaults[i] if v is None else self._literal(v, name) for i, v in zip(k.order[k.series :], given[k.series :], strict=True)]
-        integer = k.integer or (name == "gather" and series[0].dtype == "long")
+        integer = k.integer
         return self._run_kernel(lambda *a: k.run(*a, *constants), series, k.outputs, integer)
 
     def _run_kernel(self, run: Callable, series: list[Value], outputs: tuple[str, ...], integer: bool) -> Value:
@@ -335,6 +355,13 @@ class Plan:
             raise ExpressionError(f"{name} needs constants for its parameters")
         return v.literal
 
+    def _whole(self, v: Value | None, name: str, least: int, default: int = 1) -> int:
+        """An integral constant of at least ``least``."""
+        x = float(default) if v is None else self._literal(v, name)
+        if x != math.floor(x) or x < least:
+            raise ExpressionError(f"INVALID_PARAMETER: {name} takes a whole number of at least {least}")
+        return int(x)
+
     # -- window operators ------------------------------------------------------
 
     def _first_sticks(self, x: Column, prefix, best: Column) -> Column:  # noqa: ANN001
@@ -364,21 +391,27 @@ class Plan:
         form = lambda c, p, w: (F.when(c[0].isNotNull(), F.coalesce(c[0] > F.max(c[0]).over(before), F.lit(True))), self._levels_fail(c[0], w), "DOMAIN_ERROR")
         return self._window(form, [x], "boolean")
 
-    def _shortened(self, x: Value, k: int) -> Column:
-        """True where the shortened series still has a row."""
-        n = F.count(F.lit(1)).over(self.frame.partition())
-        return F.col(POS) < n - (x.drop + k)
+    def _shortened(self, c: Column, k: int) -> tuple[Column, Column]:
+        """True where the series without its last k rows still has a row, and where it hadn't so many."""
+        n = F.count(c).over(self.frame.partition())
+        return F.col(POS) < n - k, (n <= k) & (n > 0) & F.lit(k > 0)
 
     def _op_lag(self, x, periods=None):
-        k = int(self._literal(periods, "lag")) if periods else 1
-        return self._window(lambda c, p, w: (F.when(self._shortened(x, k), c[0]), None, ""), [x], x.dtype, x.drop + k)
+        k = self._whole(periods, "lag", 0)
+
+        def form(c, p, w):
+            there, short = self._shortened(c[0], k)
+            return F.when(there, c[0]), short, "INVALID_PARAMETER"
+
+        return self._window(form, [x], x.dtype, _less(x.drop, k))
 
     def _op_difference(self, x, periods=None):
-        k = int(self._literal(periods, "difference")) if periods else 1
-        return self._window(lambda c, p, w: (F.lead(c[0], k).over(self.frame.ordered()) - c[0], None, ""), [x], x.dtype, x.drop + k)
+        k = self._whole(periods, "difference", 1)
+        form = lambda c, p, w: (F.lead(c[0], k).over(self.frame.ordered()) - c[0], self._shortened(c[0], k)[1], "INVALID_PARAMETER")
+        return self._window(form, [x], x.dtype, _less(x.drop, k))
 
     def _op_aligned_shift(self, x, periods=None, fill=None):
-        k = int(self._literal(periods, "aligned_shift")) if periods else 1
+        k = self._whole(periods, "aligned_shift", 0)
         value = F.lit(self._literal(fill, "aligned_shift")) if fill else nan()
         shifted = lambda c: F.when(F.col(POS) < k, value).otherwise(F.lag(c, k).over(self.frame.ordered()) if k else c)
         return self._window(lambda c, p, w: (F.when(c[0].isNotNull(), shifted(c[0])), None, ""), [x])
@@ -394,10 +427,10 @@ class Plan:
         return self._window(form, [x])
 
     def _widths(self, name: str, window: Value, least: Value | None) -> tuple[int, int]:
-        w = int(self._literal(window, name))
-        m = int(self._literal(least, name)) if least else w
-        if not 1 <= m <= w:
-            raise ExpressionError(f"{name}: 1 <= min_periods <= window")
+        w = self._whole(window, name, 1)
+        m = self._whole(least, name, 1, w)
+        if m > w:
+            raise ExpressionError(f"INVALID_PARAMETER: {name} takes 1 <= min_periods <= window")
         return w, m
 
     def _op_rolling_mean(self, x, window, least=None):
@@ -410,7 +443,7 @@ class Plan:
         return self._rolling(lambda g, n, f: F.max(g).over(f), x, *self._widths("rolling_max", window, least))
 
     def _op_rolling_std(self, x, window, ddof=None, least=None):
-        d = int(self._literal(ddof, "rolling_std")) if ddof else 0
+        d = self._whole(ddof, "rolling_std", 0, 0)
         return self._rolling(lambda g, n, f: F.sqrt(F.var_pop(g).over(f) * n / (n - d)), x, *self._widths("rolling_std", window, least), d)
 
     def _op_max_consecutive_true(self, m):
@@ -422,7 +455,7 @@ class Plan:
     # -- records ---------------------------------------------------------------
 
     def _op_linear_fit(self, x, y=None):
-        args, pos = [x] if y is None else [x, y], self._pos()
+        args, pos = [x] if y is None else [x, y], F.col(self.pos_name)
         fields = {k: self._reduce(lambda o, f=f: f(pos, o, *[self._read_series(a) for a in args]), args) for k, f in FIT.items()}
         return Value(RECORD, fields=fields)
 
@@ -457,12 +490,76 @@ class Plan:
         fields = {k: Value(SERIES, F.coalesce(both[f], F.lit(-1).cast("long")), events.level + 2, events.status, dtype="long") for k, f in (("start", "s"), ("end", "e"))}
         return Value(RECORD, fields=fields)
 
+    def _segments_of(self, segments: Value) -> tuple[Column, Column, int, Column | None]:
+        if segments.kind != RECORD or set(segments.fields) != {"start", "end"}:
+            raise ExpressionError("segments come from between_events")
+        a, b = segments.fields["start"], segments.fields["end"]
+        return a.column, b.column, max(a.level, b.level), a.status
+
     def _op_phase_direction(self, events, segments):
-        return self._run_kernel(phase_direction, [events, segments.fields["start"], segments.fields["end"]], ("value",), True)
+        start, end, level, _ = self._segments_of(segments)
+        c = self._read_series(events)
+        level = max(level, events.level)
+        inside = lambda at: F.when(at >= 0, at)
+        left = self._deliver(level, F.col(POS), c, inside(start))
+        right = self._deliver(level + 1, F.col(POS), c, inside(end))
+        rise, fall = (left == -1) & (right == 1), (left == 1) & (right == -1)
+        phase = F.when(rise, 0).when(fall, 1).otherwise(-1).cast("long")
+        return Value(SERIES, phase, level + 2, self._all_status([events, *segments.fields.values()], level + 1), drop=events.drop, parents=(events,), dtype="long")
 
     def _op_drawdown_cycle_reference(self, phases, changes, segments, stress):
-        s = self._literal(stress, "drawdown_cycle_reference")
-        return self._run_kernel(lambda p, c, a, b: drawdown_cycle_reference(p, c, a, b, s), [phases, changes, segments.fields["start"], segments.fields["end"]], ("value",), True)
+        """Marks (left, right] of each segment: 2 where a fall (phase 1) is deep enough, 1 in the rise (phase 0) after it, else 0.
+
+        The start row has 0 at least, and 2 where a rise follows a deep fall; segments without a phase or a finite change mark nothing.
+        """
+        s = F.lit(self._literal(stress, "drawdown_cycle_reference"))
+        start, end, level, _ = self._segments_of(segments)
+        phase, change = self._read_series(phases), self._read_series(changes)
+        level = max(level, phases.level, changes.level) + 1
+        head = (start == F.col(POS)) & (end > F.col(POS))
+        valid = phase.isin(0, 1) & finite(change)
+        own = self._stage(F.when(head, F.struct(valid.alias("ok"), (phase == 0).alias("rise"), (valid & (phase == 1) & (change <= -s)).alias("deep"), end.alias("end"))), level)
+        before = F.last(own, True).over(self.frame.ordered().rowsBetween(Window.unboundedPreceding, -1))
+        marked = self._stage(
+            F.when(own.isNotNull(), F.struct(own["ok"].alias("ok"), own["end"].alias("end"), (own["rise"] & F.coalesce(before["deep"], F.lit(False))).alias("back"), own["deep"].alias("deep"))), level + 1
+        )
+        last = self._stage(F.last(marked, True).over(self.frame.ordered().rowsBetween(Window.unboundedPreceding, -1)), level + 2)
+        here = F.when((last["end"] >= F.col(POS)) & last["ok"], F.when(last["deep"], 2).when(last["back"], 1).otherwise(0)).otherwise(-1)
+        out = F.when(marked["ok"] & marked["back"], 2).when(marked["ok"], F.greatest(here, F.lit(0))).otherwise(here)
+        args = [phases, changes, *segments.fields.values()]
+        return Value(SERIES, out.cast("long"), level + 2, self._all_status(args, level + 1), drop=phases.drop, parents=(phases, changes), dtype="long")
+
+    def _op_argsort(self, x):
+        c = self._read_series(x)
+        place = self._stage(F.when(c.isNotNull(), F.row_number().over(self.frame.partition().orderBy(F.asc_nulls_last(c), POS)) - 1), x.level + 1)
+        at = self._deliver(x.level + 1, place, F.col(POS).cast("long"), F.col(POS))
+        return Value(SERIES, at, x.level + 2, self._all_status([x], x.level + 1), drop=x.drop, parents=(x,), dtype="long")
+
+    def _op_gather(self, x, indices):
+        c, at = self._read_series(x), self._read_series(indices)
+        level = self._level([x, indices])
+        got = self._deliver(level, F.when(c.isNotNull(), F.col(POS)), c, at, "INDEX_OUT_OF_RANGE")
+        return Value(SERIES, got, level + 1, self._all_status([x, indices], level), drop=indices.drop, parents=(x, indices), dtype=x.dtype)
+
+    def _deliver(self, level: int, place: Column, value: Column, at: Column, missing: str = "") -> Column:
+        """The value that stands at the place ``at``: rows give it from ``place`` and take it by a window of the same
+        partitioning, so a gather needs a sort but no join.  Inputs exist at ``level``, the result one later."""
+        name = f"_d{len(self.values)}"
+        self.values.append(None)
+        gives, t, found = name + "g", name + "t", name + "f"
+
+        def run(df: DataFrame) -> DataFrame:
+            both = df.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias(gives))
+            both = both.select(*df.columns, gives, F.when(F.col(gives), place).otherwise(at).cast("long").alias(t), F.when(F.col(gives), value).alias(name))
+            w = Window.partitionBy(*self.frame.keys, t)
+            both = both.where(F.col(t).isNotNull() | ~F.col(gives)).select(*df.columns, gives, t, F.max(name).over(w).alias(name), F.max(gives).over(w).alias(found))
+            got = F.when(F.col(t).isNotNull(), F.col(name))
+            if missing:
+                got = F.when(F.col(t).isNotNull() & ~F.col(found), F.raise_error(F.lit(missing))).otherwise(got)
+            return both.where(~F.col(gives)).select(*df.columns, got.alias(name))
+
+        self.transforms.setdefault(level + 1, []).append(run)
+        return F.col(name)
 
     # -- scopes ----------------------------------------------------------------
 
@@ -491,11 +588,12 @@ class Plan:
         body may name observation_count (rows less one, or rows if it reads a field whose name begins with
         ``return``), window_elapsed_days and risk_free_return_window.
         """
-        w = int(self._literal(self.node(window), "rolling_apply"))
+        w = self._whole(self.node(window), "rolling_apply", 1)
         dated = len(rest) >= 2
         least = rest[2] if len(rest) == 3 else rest[0] if len(rest) == 1 else None
-        m = int(self._literal(self.node(least), "rolling_apply")) if least else None
-        used = [self.node(Name(n)) for n in sorted(_names(body) & self.fields)]
+        m = self._whole(self.node(least), "rolling_apply", 1) if least else None
+        body = self._expanded(body)
+        used = [self.node(Name(n)) for n in sorted(names_of(body) & self.fields)]
         frame = self.frame.ordered().rowsBetween(1 - w, 0)
         names: dict[str, Value] = {}
         if dated:
@@ -503,7 +601,7 @@ class Plan:
             d = self._read_series(dates)
             elapsed = self._stage(F.last(d).over(frame) - F.first(d).over(frame), dates.level + 1)
             rows = self._stage(F.count(F.lit(1)).over(frame).cast("double"), dates.level + 1)
-            returns = any(n.startswith("return") for n in _names(body) & self.fields)
+            returns = any(n.startswith("return") for n in names_of(body) & self.fields)
             growth = F.pow(F.lit(max(0.0, 1.0 + annual)), elapsed / 365.0) - 1.0
             for name, column in (("observation_count", rows if returns else rows - 1.0), ("window_elapsed_days", elapsed), ("risk_free_return_window", growth)):
                 names[name] = Value(SERIES, column, dates.level + 1)
@@ -528,146 +626,346 @@ class Plan:
     def _interval_tail(self, x: Node) -> Value:
         """The series without its first row."""
         v = self.node(x)
-        return self._window(lambda c, p, w: (F.lead(c[0], 1).over(self.frame.ordered()), None, ""), [v], v.dtype, v.drop + 1)
+        return self._window(lambda c, p, w: (F.lead(c[0], 1).over(self.frame.ordered()), None, ""), [v], v.dtype, _less(v.drop, 1))
+
+    def _expanded(self, tree: Node) -> Node:
+        """The tree with its bindings and compositions written out."""
+        if isinstance(tree, Name):
+            own = tree.name in self.bindings and tree.name not in self.locals
+            return self._expanded(self.bindings[tree.name]) if own else tree
+        if not isinstance(tree, Call):
+            return tree
+        name = tree.function if tree.function in _SCOPES else ALIASES.get(tree.function, tree.function)
+        args = tuple(map(self._expanded, tree.args))
+        return _put(parse(REWRITES[name]), dict(zip("ab", args, strict=False))) if name in REWRITES else Call(name, args)
+
+    def _child(self, kind: str, keys: tuple, level: int, enter: Callable, leave: Callable, mask: Column | None, policy: str) -> Child:
+        """The child plan of a scope; scopes of one kind over equal keys share it."""
+        if self.frame_rows is not None:
+            raise ExpressionError(f"{kind} can't stand inside rolling_apply")
+        own = (kind, keys, self._scope_key())
+        if own not in self.children:
+            name = f"_g{len(self.values)}"
+            self.values.append(None)
+            plan = Plan(IntervalFrame(self.frame.data, (*self.frame.keys, name)), self.fields, self.parameters, policy)
+            plan.values, plan.used, plan.bindings, plan.frame_mask = self.values, self.used, self.bindings, mask
+            level = max([level, *(v.level for v in self.locals.values())]) + 1
+            plan.locals = {k: Value(v.kind, v.column if mask is None else F.when(mask, v.column), 0, v.status, drop=v.drop, dtype=v.dtype) for k, v in self.locals.items()}
+            child = self.children[own] = Child(plan, name, level, enter, leave)
+            self.transforms.setdefault(level, []).append(lambda df: child.apply(df))
+        return self.children[own]
+
+    def _scoped(self, child: Child, body: Node, kind: str) -> tuple[Column, Column | None, str]:
+        """The body's value a group, as a column that stands on all rows of the group, with its status."""
+        body = self._expanded(body)
+        child.dense |= bool(numeric.calls(body) & DENSE)
+        v = child.plan.node(body)
+        if v.kind != SCALAR:
+            raise ExpressionError(f"the body of {kind} must reduce")
+        if v.literal is not None:
+            return v.column, None, v.dtype
+        name = f"_s{len(self.values)}"
+        self.values.append(None)
+        child.bodies.append((name, child.plan._read(v)))
+        if v.status is not None:
+            child.bodies.append((name + "s", v.status))
+        return F.col(name), None if v.status is None else F.col(name + "s"), v.dtype
+
+    def _from_scope(self, value: Column, status: Column | None, there: Column, otherwise: Column) -> tuple[Column, Column | None]:
+        """A scope's value where it has one; its failures are raised or kept as this plan's policy says."""
+        if status is None:
+            return F.when(there, value).otherwise(otherwise), None
+        if self.policy == "isolate":
+            return F.when(there, value).otherwise(otherwise), F.when(there, status).otherwise(0)
+        error = F.when(status == 2, "DIVIDE_BY_ZERO").when(status == 3, "DOMAIN_ERROR").otherwise("NUMERIC_FAILURE")
+        return F.when(~F.coalesce(there, F.lit(False)), otherwise).when(status != 0, F.raise_error(error)).otherwise(value), None
 
     def _group_apply(self, body: Node, key: Node) -> Value:
         k = self.node(key)
         c = self._read_series(k)
-        name = f"_g{len(self.values)}"
-        self.values.append(None)
-        self.stages.setdefault(k.level + 1, []).append((name, F.max(c).over(self.frame.partition().orderBy(POS).rowsBetween(0, 0))))
-        before, self.frame_keys = self.frame_keys, (*self.frame_keys, name)
-        try:
-            v = self.node(body)
-        finally:
-            self.frame_keys = before
-        if v.kind != SERIES:
-            raise ExpressionError("the body of group_apply must reduce")
-        if v.level <= k.level + 1:
-            self._raise_level(v, k.level + 2)
-        return v
-
-    def _raise_level(self, v: Value, level: int) -> None:
-        for stage in list(self.stages):
-            moved = [s for s in self.stages[stage] if stage < level and s[0] in str(v.column)]
-            self.stages[stage] = [s for s in self.stages[stage] if s not in moved]
-            self.stages.setdefault(level, []).extend(moved)
-        v.level = level
+        child = self._child("group_apply", (key,), k.level, lambda df, own: df.withColumn(own, c), lambda df, own, names: df, self.frame_mask, self.policy)
+        value, status, dtype = self._scoped(child, body, "group_apply")
+        return Value(SERIES, value, child.level, status, drop=k.drop, parents=(k,), dtype=dtype)
 
     def _filter_apply(self, body: Node, mask: Node, default: Node | None = None) -> Value:
         m = self.node(mask)
         c = self._read_series(m)
-        name = f"_p{len(self.values)}"
-        self.values.append(None)
-        self.stages.setdefault(m.level + 1, []).append((name, F.count(F.when(c, 1)).over(self.frame.prefix()) - 1))
-        old = self.frame_mask, getattr(self, "mask_level", 0), getattr(self, "pos_name", POS), self.policy
-        self.frame_mask, self.mask_level, self.pos_name, self.policy = c, m.level + 1, name, "isolate"
-        try:
-            v = self.node(body)
-        finally:
-            self.frame_mask, self.mask_level, self.pos_name, self.policy = old
-        some = self._reduce(lambda o: (o(F.count(F.when(c, 1))).cast("double"), None, ""), [m])
-        if v.status is None and v.column is not None:
-            v.status = F.lit(0)
         fallback = F.lit(self._literal(self.node(default), "filter_apply")) if default else nan()
+        some = self._reduce(lambda o: (o(F.count(F.when(c, 1))).cast("double"), None, ""), [m])
+        flat = numeric.calls(self._expanded(body)) <= set(ELEMENTWISE) | set(REDUCTIONS)
+        v = self._filtered(body, m, c) if flat and self.frame_rows is None else self._filtered_child(body, mask, m, c)
         out = Value(SCALAR, None, 0, parents=(v, some))
+        policy = self.policy
 
         def build(read: Callable) -> tuple:
             (x, s), (n, _) = read(v), read(some)
-            if old[3] == "isolate":
+            s = F.lit(0) if s is None else s
+            if policy == "isolate":
                 return F.when(n > 0, x).otherwise(fallback), F.when(n > 0, s).otherwise(0)
             return F.when(n <= 0, fallback).when(s != 0, F.raise_error(F.lit("NUMERIC_FAILURE"))).otherwise(x), None
 
         out.reduction, out.name = build, "scalar"
         return out
 
+    def _filtered(self, body: Node, m: Value, c: Column) -> Value:
+        """Reductions need no group of their own: rows outside are NULL."""
+        name = f"_p{len(self.values)}"
+        self.values.append(None)
+        if numeric.calls(self._expanded(body)) & DENSE:
+            self.stages.setdefault(m.level + 1, []).append((name, F.count(F.when(c, 1)).over(self.frame.prefix()) - 1))
+        else:
+            name = self.pos_name
+        old = self.frame_mask, self.mask_level, self.pos_name, self.policy
+        self.frame_mask, self.mask_level, self.pos_name, self.policy = c, m.level + 1, name, "isolate"
+        try:
+            return self.node(body)
+        finally:
+            self.frame_mask, self.mask_level, self.pos_name, self.policy = old
+
+    def _filtered_child(self, body: Node, mask: Node, m: Value, c: Column) -> Value:
+        name = f"_m{len(self.values)}"
+        self.values.append(None)
+
+        def enter(df: DataFrame, own: str) -> DataFrame:
+            return df.withColumn(own, F.coalesce(c, F.lit(False))).withColumn(name, F.col(own))
+
+        child = self._child("filter_apply", (mask,), m.level, enter, lambda df, own, names: df, F.col(name), "isolate")
+        value, status, _ = self._scoped(child, body, "filter_apply")
+        on = Value(SERIES, F.when(c, value), child.level, None, parents=(m,))
+        failed = Value(SERIES, F.when(c, F.lit(0) if status is None else status), child.level, None, parents=(m,))
+        x = self._reduce(lambda o: (o(F.max(on.column)), None, ""), [on], "record")
+        s = self._reduce(lambda o: (o(F.max(failed.column)), None, ""), [failed], "record")
+        out = Value(SCALAR, None, 0, parents=(x, s), name="scalar")
+        out.reduction = lambda read: (read(x)[0], F.coalesce(read(s)[0], F.lit(0)))
+        return out
+
+    def _block_apply(self, body: Node, width: Node) -> Value:
+        """A value for each full block of ``width`` rows; the tail goes.  The result is as long as there are blocks."""
+        w = self._whole(self.node(width), "block_apply", 1)
+        name = f"_m{len(self.values)}"
+        self.values.append(None)
+        full = F.col(name)
+        outer = self.frame_mask if self.frame_mask is not None else F.lit(True)
+
+        def enter(df: DataFrame, own: str) -> DataFrame:
+            df = df.withColumn(own, F.floor(F.col(POS) / w).cast("long"))
+            n = F.count(F.when(outer, 1)).over(Window.partitionBy(*self.frame.keys, own))
+            return df.select("*", (n == w).alias(name)).withColumn(POS, F.col(POS) % w)
+
+        child = self._child("block_apply", (width,), 0, enter, lambda df, own, names: df, full, "isolate")
+        if child.plan.frame_mask is not full:  # a block scope of this width is there already
+            full = child.plan.frame_mask
+        child.keeps.append(full)
+        value, status, dtype = self._scoped(child, body, "block_apply")
+        block = F.floor(F.col(POS) / w).cast("long")
+        level, place = child.level, F.when(full & (F.col(POS) % w == 0), block)
+        both = F.struct(value.alias("v"), (F.lit(0) if status is None else status).alias("s"))
+        got = self._deliver(level, place, both, F.col(POS))
+        value, status = self._from_scope(got["v"], None if status is None else got["s"], got.isNotNull(), F.lit(None))
+        return Value(SERIES, value, level + 1, status, drop=("block", w), dtype=dtype)
+
+    def _segment_apply(self, body: Node, segments: Node) -> Value:
+        """A value for each segment over its rows [left, right]; it stands on [left, right), rows outside get NaN."""
+        record = self.node(segments)
+        start, end, level, status = self._segments_of(record)
+        name = f"_m{len(self.values)}"
+        self.values.append(None)
+
+        def enter(df: DataFrame, own: str) -> DataFrame:
+            head = F.when((start == F.col(POS)) & (end > F.col(POS)), F.struct(start.alias("s"), end.alias("e")))
+            last = F.last(head, True).over(self.frame.ordered().rowsBetween(Window.unboundedPreceding, -1))
+            df = df.select("*", F.when(last["e"] == F.col(POS), last["s"]).alias("_last"))
+            copies = F.filter(F.array(F.struct(F.coalesce(F.when(start >= 0, start), F.lit(-1).cast("long")).alias("s"), F.lit(True).alias("o")), F.struct(F.col("_last").alias("s"), F.lit(False).alias("o"))), lambda x: x["s"].isNotNull())
+            df = df.select("*", F.explode(copies).alias("_copy")).drop("_last")
+            df = df.select("*", F.col("_copy.s").alias(own), F.col("_copy.o").alias(own + "o"), (F.col("_copy.s") >= 0).alias(name)).drop("_copy")
+            return df.withColumn(POS, F.when(F.col(name), F.col(POS) - F.col(own)).otherwise(F.col(POS)))
+
+        child = self._child("segment_apply", (segments,), level, enter, lambda df, own, names: df.where(F.col(own + "o")), F.col(name), "isolate")
+        value, failed, dtype = self._scoped(child, body, "segment_apply")
+        empty = {"double": nan(), "boolean": F.lit(False), "long": F.lit(-1).cast("long")}[dtype]
+        value, failed = self._from_scope(value, failed, start >= 0, empty)
+        codes = [s for s in (status, failed) if s is not None]
+        return Value(SERIES, value, child.level, F.greatest(*codes) if len(codes) == 2 else codes[0] if codes else None, parents=tuple(record.fields.values()), dtype=dtype)
+
+    # -- solvers -----------------------------------------------------------------
+
+    def _hoisted(self, body: Node, unknown: str) -> tuple[Node, dict[str, Value]]:
+        """The body with every part that doesn't name the unknown taken out; those are nodes of this plan."""
+        inputs: dict[str, Value] = {}
+
+        def walk(tree: Node) -> Node:
+            if isinstance(tree, Number) or (isinstance(tree, Name) and tree.name == unknown):
+                return tree
+            if unknown not in names_of(tree):
+                v = self.node(tree)
+                if v.literal is not None:
+                    return Number(v.literal)
+                key = next((k for k, x in inputs.items() if x is v), f"{unknown}_{len(inputs)}")
+                inputs[key] = v
+                return Name(key)
+            if tree.function not in numeric.ELEMENT and tree.function not in numeric.REDUCE:
+                raise ExpressionError(f"{tree.function} can't take {unknown}")
+            return Call(tree.function, tuple(map(walk, tree.args)))
+
+        return walk(self._expanded(body)), inputs
+
+    def _mapped(self, args: list[Value], run: Callable, outputs: tuple[str, ...]) -> dict[str, Value]:
+        """A vectorised function of rows, or of scalars once they are known: one Arrow exchange for all outputs."""
+
+        def f(*columns: pd.Series) -> pd.DataFrame:
+            with np.errstate(all="ignore"):
+                return pd.DataFrame(dict(zip(outputs, run(*[c.to_numpy(dtype=float) for c in columns]), strict=True)))
+
+        made = F.pandas_udf(f, ", ".join(f"{o} double" for o in outputs))
+        if not any(a.kind == SERIES for a in args) and any(a.reduction is not None for a in _deep(args)):
+            record = Value(SCALAR, None, 0, parents=tuple(args), name="scalar", dtype="record")
+
+            def build(read: Callable) -> tuple:
+                got = [read(a) for a in args]
+                codes = [s for _, s in got if s is not None]
+                return made(*[c.cast("double") for c, _ in got]), codes[0] if len(codes) == 1 else F.greatest(*codes) if codes else None
+
+            record.reduction = build
+
+            def part(o: str) -> Value:
+                v = Value(SCALAR, None, 0, parents=(record,), name="scalar")
+                v.reduction = lambda read: (read(record)[0][o], read(record)[1])
+                return v
+
+            return {o: part(o) for o in outputs}
+        level = self._level(args) + 1
+        record = self._stage(made(*[self._read_series(a).cast("double") for a in args]), level)
+        codes = self._status_of(args)
+        status = None if not codes else codes[0] if len(codes) == 1 else F.greatest(*codes)
+        return {o: Value(SERIES, record[o], level, status, drop=_common_drop("a solver", args), parents=tuple(args)) for o in outputs}
+
+    def _checked(self, v: Value, code: Value) -> Value:
+        """A solver's value, which fails where its code isn't 0."""
+        out = Value(v.kind, None, v.level, parents=(v, code), drop=v.drop, name="scalar" if v.kind == SCALAR else "")
+        policy = self.policy
+
+        def build(read: Callable) -> tuple:
+            (x, s), (c, _) = read(v), read(code)
+            if policy == "raise":
+                text = F.lit(SOLVER[4])
+                for k, t in SOLVER.items():
+                    text = F.when(c == k, t).otherwise(text)
+                return F.when(c != 0, F.raise_error(text)).otherwise(x), None
+            status = F.greatest(F.when(c != 0, 4).otherwise(0), F.lit(0) if s is None else s)
+            return F.when(status == 0, x).otherwise(nan()), status
+
+        if v.kind == SERIES:
+            out.column, out.status = build(lambda a: (a.column, a.status))
+        else:
+            out.reduction = build
+        return out
+
+    def _solver(self, body: Node, unknown: str, args: list[Value], run: Callable, outputs: tuple[str, ...], whole: bool) -> dict[str, Value]:
+        """``run(f, arrays of args)`` over rows or scalars, or over whole intervals where the body reduces the unknown's series."""
+        tree, inputs = self._hoisted(body, unknown)
+        names, values = list(inputs), list(inputs.values())
+        reduces = bool(numeric.calls(tree) & set(numeric.REDUCE))
+        ends, columns = len(args), [v.kind == SERIES for v in values]
+
+        def solve(*arrays: np.ndarray) -> tuple:
+            env = dict(zip(names, arrays[ends:], strict=True))
+            rows = max((np.size(a) for a in arrays), default=1)
+            return run(lambda x: numeric.evaluate(tree, env | {unknown: x}, rows), *arrays[:ends])
+
+        everything = [*args, *values]
+        series = any(a.kind == SERIES for a in everything)
+        if all(a.literal is not None for a in everything):
+            with np.errstate(all="ignore"):
+                got = solve(*[np.array([a.literal]) for a in args])
+            return {o: Value(SCALAR, F.lit(float(x[0])), literal=float(x[0])) for o, x in zip(outputs, got, strict=True)}
+        if not (series and (whole or reduces)):
+            return self._mapped(everything, solve, outputs)
+
+        single = reduces and not whole  # one unknown for the interval, not one a row
+
+        def kernel(*arrays: np.ndarray) -> tuple:
+            n = len(arrays[0])
+            if not n:
+                return tuple(np.zeros(0) for _ in outputs)
+            with np.errstate(all="ignore"):
+                if single:
+                    scalars = [a[:1] for a in arrays[:ends]]
+                    own = {k: a if long else a[0] for k, long, a in zip(names, columns, arrays[ends:], strict=True)}
+                    f = lambda x: np.array([numeric.evaluate(tree, own | {unknown: x[0]}, n)], float)
+                    return tuple(np.full(n, np.asarray(r, float)[0]) for r in run(f, *scalars))
+                return tuple(np.asarray(r, float) for r in solve(*[np.asarray(a, float) for a in arrays]))
+
+        held = [a if a.kind == SERIES else Value(SERIES, self._read_series(a), a.level, a.status) for a in everything]
+        made = self._run_kernel(kernel, held, outputs, False)
+        return made.fields if len(outputs) > 1 else {outputs[0]: made}
+
+    def _as_scalar(self, v: Value) -> Value:
+        """A series that is constant in an interval as its one value."""
+        return v if v.kind == SCALAR else self._reduce(lambda o: (o(F.max(v.column)), None, ""), [v], "record")
+
     def _bisect(self, body: Node, low: Node, high: Node, tolerance: Node, rounds: Node) -> Value:
-        """A root of the body in ``solve_x`` between the ends, row by row; NaN if the ends don't enclose one."""
-        lo, hi = self.node(low), self.node(high)
-        tol, n = self._literal(self.node(tolerance), "bisect"), int(self._literal(self.node(rounds), "bisect"))
-        outer = [self.node(Name(x)) for x in sorted(_names(body) - {"solve_x"})]
-
-        def at(x: Column) -> Column:
-            return self._with_local({"solve_x": Value(SERIES if any(o.kind == SERIES for o in outer) else SCALAR, x)}, body).column
-
-        def step(s: Column, _: Column) -> Column:
-            mid = (s["lo"] + s["hi"]) / 2.0
-
-            def halve(f: Column) -> Column:
-                done = s["done"] | (F.abs(f) == 0) | (((s["hi"] - s["lo"]) / 2.0) <= tol)
-                left = (f > 0) == (s["fl"] > 0)
-                return F.struct(
-                    F.when(s["done"], s["lo"]).when(done | left, mid).otherwise(s["lo"]).alias("lo"),
-                    F.when(s["done"], s["hi"]).when(left & ~done, s["hi"]).otherwise(mid).alias("hi"),
-                    F.when(~s["done"] & left & ~done, f).otherwise(s["fl"]).alias("fl"),
-                    done.alias("done"),
-                )
-
-            return let(at(mid), halve)
-
-        a, b = self._read_series(lo), self._read_series(hi)
-        fa, fb = at(a), at(b)
-        start = F.struct(a.alias("lo"), b.alias("hi"), fa.alias("fl"), F.lit(False).alias("done"))
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step, lambda s: F.when(s["done"], (s["lo"] + s["hi"]) / 2.0).otherwise(nan()))
-        value = F.when(fa == 0, a).when(fb == 0, b).when((fa > 0) == (fb > 0), nan()).otherwise(found)
-        args = [lo, hi, *outer]
-        return Value(SERIES if any(x.kind == SERIES for x in args) else SCALAR, value, self._level(args), parents=tuple(args))
-
-    def _iterated(self, body: Node, initial: Node, tolerance: Node, rounds: Node) -> Value:
+        """A root of the body in ``solve_x`` between the ends: of scalars, or row by row where the body or an end is a series.
+
+        A body that reduces a series of the unknown has one root an interval.  No finite values, no change of sign or too few rounds fail.
+        """
+        tol, n = self._literal(self.node(tolerance), "bisect"), self._whole(self.node(rounds), "bisect", 1)
+        if tol <= 0 or n > MAX_ROUNDS:
+            raise ExpressionError("INVALID_PARAMETER: bisect takes a tolerance > 0 and at most 10,000 rounds")
+        got = self._solver(body, "solve_x", [self.node(low), self.node(high)], lambda f, a, b: numeric.bisect(f, a, b, tol, n), ("x", "code"), False)
+        if all(v.literal is not None for v in got.values()):
+            if got["code"].literal and self.policy == "raise":
+                raise ExpressionError(SOLVER[int(got["code"].literal)])
+            return Value(SCALAR, nan(), status=F.lit(4)) if got["code"].literal else got["x"]
+        tree, _ = self._hoisted(body, "solve_x")
+        if got["x"].kind == SERIES and numeric.calls(tree) & set(numeric.REDUCE):
+            got = {k: self._as_scalar(v) for k, v in got.items()}
+        return self._checked(got["x"], got["code"])
+
+    def _iteration_record(self, body: Node, initial: Node, tolerance: Node, rounds: Node) -> Value:
+        """The record of a fixed-point iteration.  A series is one state: it settles when its largest step is within the tolerance."""
+        tol, n = self._literal(self.node(tolerance), "iterate"), self._whole(self.node(rounds), "iterate", 1)
+        if n > MAX_ROUNDS:
+            raise ExpressionError("INVALID_PARAMETER: iterate takes at most 10,000 rounds")
         first = self.node(initial)
-        tol, n = self._literal(self.node(tolerance), "iterate"), int(self._literal(self.node(rounds), "iterate"))
-        outer = [self.node(Name(x)) for x in sorted(_names(body) - {"iterate_x"})]
-        args = [first, *outer]
-        kind = SERIES if any(a.kind == SERIES for a in args) else SCALAR
+        names = ("x", "status", "count", "residual")
+        got = self._solver(body, "iterate_x", [first], lambda f, a: numeric.iterate(f, a, tol, n, True), names, True) if self._spans(body, first) else (
+            self._solver(body, "iterate_x", [first], lambda f, a: numeric.iterate(f, a, tol, n, False), names, False))
+        if got["x"].kind == SERIES:
+            got |= {k: self._as_scalar(got[k]) for k in names[1:]}
+        return Value(RECORD, fields=got)
 
-        def step(s: Column, _: Column) -> Column:
-            def feed(x: Column) -> Column:
-                stopped, gap = s["status"] != 1, F.abs(x - s["x"])
-                broken = ~finite(x)
-                return F.struct(
-                    F.when(stopped | broken, s["x"]).otherwise(x).alias("x"),
-                    F.when(stopped, s["status"]).when(broken, 5).when(gap <= tol, 0).otherwise(1).alias("status"),
-                    F.when(stopped | broken, s["count"]).otherwise(s["count"] + 1).alias("count"),
-                    F.when(stopped | broken, s["residual"]).otherwise(gap).alias("residual"),
-                )
-
-            return let(self._with_local({"iterate_x": Value(kind, s["x"])}, body).column, feed)
-
-        start = F.struct(self._read_series(first).cast("double").alias("x"), F.lit(1).alias("status"), F.lit(0).alias("count"), nan().alias("residual"))
-        done = F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, step)
-        fields = {k: Value(kind, done[k].cast("double"), self._level(args), parents=tuple(args)) for k in ("x", "status", "count", "residual")}
-        return Value(RECORD, fields=fields)
+    def _spans(self, body: Node, first: Value) -> bool:
+        return first.kind == SERIES or any(v.kind == SERIES for v in self._hoisted(body, "iterate_x")[1].values())
 
     def _iterate(self, *args: Node) -> Value:
-        return self._iterated(*args).fields["x"]
+        return self.node(Call("iteration record", args)).fields["x"]
+
+    def _diagnostic(self, call: Node, field_: str) -> Value:
+        if not isinstance(call, Call) or call.function != "iterate":
+            raise ExpressionError("diagnostics take an iterate(...)")
+        return self.node(Call("iteration record", call.args)).fields[field_]
 
     def _iteration_status(self, call: Node) -> Value:
-        return self._iterated(*call.args).fields["status"]
+        return self._diagnostic(call, "status")
 
     def _iteration_count(self, call: Node) -> Value:
-        return self._iterated(*call.args).fields["count"]
+        return self._diagnostic(call, "count")
 
     def _iteration_residual(self, call: Node) -> Value:
-        return self._iterated(*call.args).fields["residual"]
-
-    def _with_local(self, names: dict[str, Value], body: Node) -> Value:
-        before, self.locals = self.locals, {**self.locals, **names}
-        memo, self.memo, policy = self.memo, {}, self.policy
-        self.policy = "quiet"
-        try:
-            return self.node(body)
-        finally:
-            self.locals, self.memo, self.policy = before, memo, policy
+        return self._diagnostic(call, "residual")
 
     # -- execution -------------------------------------------------------------
 
-    def _staged(self) -> DataFrame:
-        df = self.frame.data
-        for level in sorted({*self.stages, *self.kernels}):
+    def _staged(self, df: DataFrame | None = None) -> DataFrame:
+        if df is None:  # only what the expressions read
+            df = self.frame.data.select(*self.frame.keys, POS, *[c for c in self.frame.data.columns if c in self.used])
+        for level in sorted({*self.stages, *self.kernels, *self.transforms}):
             if level in self.kernels:
                 df = self._apply_kernels(df, self.kernels[level])
             if self.stages.get(level):
                 df = df.select("*", *[c.alias(n) for n, c in self.stages[level]])
+            for run in self.transforms.get(level, ()):
+                df = run(df)
         return df
 
     def _apply_kernels(self, df: DataFrame, calls: list) -> DataFrame:
@@ -736,7 +1034,14 @@ class Plan:
         return self._staged().select(*self.frame.keys, POS, *columns)
 
 
-_SCOPES = {"interval_tail", "rolling_window", "rolling_apply", "group_apply", "filter_apply", "bisect", "iterate", "iteration_status", "iteration_count", "iteration_residual"}
+_SCOPES = {"interval_tail", "rolling_window", "rolling_apply", "block_apply", "group_apply", "filter_apply", "segment_apply", "bisect", "iterate", "iteration record", "iteration_status", "iteration_count", "iteration_residual"}
+#: operators that need positions without gaps inside a scope's group
+DENSE = {
+    "linear_slope", "linear_intercept", "linear_r_squared", "regression_standard_error", "linear_fit", "argmin", "argmax", "value_at", "lag", "difference", "aligned_shift", "last_drawdown_interval",
+    "between_events", "argsort", "gather", "drawdown_cycle_reference", "phase_direction", "interval_tail", "block_apply", "segment_apply",
+}
+PROBABILITY = {"quantile", "quantile_where"}
+MAX_ROUNDS = 10_000
 _FIELD_OPS = {
     "interval_start": "start", "interval_trough": "trough", "interval_recovery": "recovery",
     "fit_slope": "slope", "fit_intercept": "intercept", "fit_residual_sum_squares": "rss", "fit_total_sum_squares": "tss", "fit_observation_count": "n",
@@ -748,7 +1053,23 @@ for _op, _field in _FIELD_OPS.items():
     setattr(Plan, "_op_" + _op, lambda self, record, f=_field: record.fields[f])
 
 
-_names = names_of
+def _put(tree: Node, binding: dict[str, Node]) -> Node:
+    """The tree with names replaced."""
+    if isinstance(tree, Name):
+        return binding.get(tree.name, tree)
+    return Call(tree.function, tuple(_put(a, binding) for a in tree.args)) if isinstance(tree, Call) else tree
+
+
+def _less(drop: object, k: int) -> object:
+    """The mark of a series without its last k rows."""
+    return drop + k if isinstance(drop, int) else (*drop, k) if k else drop
+
+
+def _common_drop(name: str, args: list[Value]) -> object:
+    drops = {a.drop for a in args if a.kind == SERIES}
+    if len(drops) > 1:
+        raise ExpressionError(f"{name} mixes series of different lengths")
+    return next(iter(drops), 0)
 
 
 def _deep(values: list[Value]) -> list[Value]:

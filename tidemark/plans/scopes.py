@@ -1,35 +1,20 @@
-"""Scopes that change the axis of a series: blocks and segments."""
+"""Scopes over whole frames: several bodies at once, with their own result axis."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.compiler import evaluate
-from tidemark.plans.frame import POS, IntervalFrame
+from tidemark.plans.frame import IntervalFrame
 
 
 def block_apply(frame: IntervalFrame, bodies: dict[str, str], width: int, parameters: dict[str, float] | None = None) -> DataFrame:
     """Each full block of ``width`` rows reduces to one row; the incomplete tail is dropped.  keys, pos (block number), one column a body."""
-    if width < 1:
-        raise ValueError("width >= 1")
-    block = F.floor(F.col(POS) / width).cast("long")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*frame.keys, "_block"))
-    rows = frame.data.withColumn("_block", block).withColumn("_n", n).where(F.col("_n") == width).withColumn(POS, F.col(POS) % width).drop("_n")
-    out = evaluate(IntervalFrame(rows, (*frame.keys, "_block")), bodies, parameters)
-    return out.withColumnRenamed("_block", POS)
+    out = evaluate(frame, {k: f"block_apply({b}, {width})" for k, b in bodies.items()}, parameters)
+    return out.where(F.coalesce(*[F.col(b).isNotNull() for b in bodies]))
 
 
-def segment_apply(frame: IntervalFrame, bodies: dict[str, str], start: str, end: str, parameters: dict[str, float] | None = None) -> DataFrame:
-    """Bodies over the rows [start, end] of each segment, shared ends included in both; the value stands on [start, end).
-
-    ``start`` and ``end`` are columns of the frame (-1 outside of segments).  Rows outside get NaN.
-    """
-    keys = list(frame.keys)
-    bounds = frame.data.where(F.col(start) >= 0).select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).distinct()
-    own = frame.data.where(F.col(start) >= 0).withColumn("_s", F.col(start))
-    last = frame.data.join(bounds.select(*keys, F.col("_e").alias(POS), "_s"), [*keys, POS])
-    rows = own.unionByName(last.select(own.columns)).withColumn(POS, F.col(POS) - F.col("_s"))
-    out = evaluate(IntervalFrame(rows.drop(start, end), (*keys, "_s")), bodies, parameters)
-    placed = frame.data.select(*keys, POS, F.col(start).alias("_s")).join(out, [*keys, "_s"], "left")
-    return placed.select(*keys, POS, *[F.coalesce(b, F.lit(float("nan"))).alias(b) for b in bodies])
+def segment_apply(frame: IntervalFrame, bodies: dict[str, str], segments: str, parameters: dict[str, float] | None = None) -> DataFrame:
+    """Bodies over the rows [start, end] of each segment, shared ends included in both; the value stands on [start, end), rows outside get NaN."""
+    return evaluate(frame, {k: f"segment_apply({b}, {segments})" for k, b in bodies.items()}, parameters)
