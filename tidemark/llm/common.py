@@ -25,6 +25,8 @@ ALNUM = bytes(
 )
 
 _own_root: dict[str, str] = {}
+#: tables and archives in the shared folder that are still there, in the order they were named
+made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir.  Where that is unset a temporary one, in local mode only: other machines couldn't read it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         app = spark.sparkContext.applicationId
         if app not in _own_root:
             _own_root[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -43,7 +47,9 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
+    made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
@@ -58,6 +64,19 @@ def release(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in made:
+        made.remove(path)
+
+
+def release_since(spark: SparkSession, mark: int, *, keep: tuple[str, ...] = ()) -> None:
+    """Deletes what was written since ``len(made)`` was ``mark``: for results that have been written themselves."""
+    for path in [x for x in made[mark:] if x not in keep]:
+        release(spark, path)
+
+
+def bounded(df: DataFrame, rows: int, row_bytes: int, most_bytes: int = 32 << 20) -> DataFrame:
+    """The frame with a hint to broadcast it if ``rows`` rows of at most ``row_bytes`` bytes keep to the bound; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if rows * row_bytes <= most_bytes else df
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
