@@ -8,12 +8,15 @@ prefix is one shingle: the window's rarest.  Documents are joined on that one,
 kept by the length bound (the window fits into the document) and the positional
 bound (the shingle's place fixes the window's start), and verified word by word.
 
-Only item windows are broadcast, in slices of at most ``slice_rows`` rows; a larger
-benchmark takes several passes instead of a larger broadcast.
+Only item windows and their shingles are broadcast, in slices of about ``slice_bytes`` bytes that are counted beforehand; a
+larger benchmark takes several passes instead of a larger broadcast.  Rows fall to slices by a hash of the
+window, so that a prefix shared by many windows is spread as well.
 
 Defined cases: null or word-less text has no words and no hits; items without
-words have no windows; an empty benchmark leaves every document clean; repeated
-document rows give a result row each; columns other than the ids and texts are ignored.
+words have no windows; null item ids count as no item, though their windows still hit; an empty benchmark leaves every document
+clean; rows with one id, or null ids, are judged each and give a result row each; ties for the rarest shingle go to
+the smaller key, then the earlier place; texts of any length are split into words whole, in the memory of a task;
+columns other than the ids and texts are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import bounded, materialize, release
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ALL_DOCS = -(2**63) + 11
+#: bytes of a broadcast key beside texts
+KEY_BYTES = 80
 
 
 def with_words(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -91,16 +96,17 @@ def decontaminate(
     item_text: str = "text",
     window: int = 10,
     shingle: int = 5,
-    slice_rows: int = 400_000,
+    slice_bytes: int = 32 << 20,
+    carried: Column | None = None,
 ) -> DataFrame:
-    """One row a document: doc_id, n_words, n_hit, items (sorted ids)."""
+    """One row a document: doc_id, n_words, n_hit, items (sorted ids).  ``carried`` stands in the place of doc_id if given."""
     spark = docs.sparkSession
-    windows = _item_windows(items, item_id, item_text, window).cache()
+    windows, windows_path = materialize(_item_windows(items, item_id, item_text, window), "item-windows")
     lengths = {r[0]: r[1] for r in windows.groupBy(F.size("win").alias("n")).count().collect()}
     sizes = sorted({min(shingle, n) for n in lengths}) or [shingle]
     n_keys = sum(c * (n - min(shingle, n) + 1) for n, c in lengths.items())
-    slices = max(1, -(-n_keys // slice_rows))
-    src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+    slices = max(1, -(-n_keys * KEY_BYTES // slice_bytes))
+    src = docs.select(F.monotonically_increasing_id().alias("uid"), (F.col(doc_id) if carried is None else carried).alias("_doc"), F.col(text).alias("_text"))
     if slices > 1:  # row numbers that several passes share
         src, _ = materialize(src, "documents")
     base = with_words(src, "_text", "words").withColumn("n", F.size("words"))
@@ -132,9 +138,11 @@ def decontaminate(
             .select("win", "ids", F.col("r.off").alias("off"), F.col("r.key").alias("key"))
         )
         ranked, _ = materialize(ranked, "windows")
-        n_probe = ranked.count()
+        lengths = [F.octet_length(F.concat_ws(" ", c)) + 24 * F.size(c) for c in ("win", "ids")]
+        probe_bytes = ranked.agg(F.sum(lengths[0] + lengths[1] + KEY_BYTES)).first()[0] or 0
     else:
-        ranked, n_probe = None, 0
+        ranked, probe_bytes = None, 0
+    release(spark, windows_path)
     mark = spark.range(1).select(
         F.array().cast("array<string>").alias("win"),
         F.array().cast("array<string>").alias("ids"),
@@ -147,11 +155,11 @@ def decontaminate(
         & (F.slice("words", F.greatest(start, F.lit(0)) + 1, size) == F.col("win"))
     )
     matches = None
-    slices = max(1, -(-n_probe // slice_rows))
+    slices = max(1, -(-probe_bytes // slice_bytes))
     for i in range(slices):
         probe = mark if i == 0 else None
         if ranked is not None:
-            part = ranked.where(F.pmod("key", F.lit(slices)) == i)
+            part = ranked.where(F.pmod(F.xxhash64("win"), F.lit(slices)) == i)
             probe = part if probe is None else probe.union(part)
         m = (
             _places(base, sizes, i == 0)
@@ -177,8 +185,14 @@ def decontaminate(
     return out.drop("uid")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents in which no item window stands, with all their columns."""
-    found = decontaminate(docs, items, doc_id=doc_id, **options).where("n_hit > 0")
-    gone = found.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents in which no item window stands, with all their columns.
+
+    Rows are told apart by id and two hashes of the text, so a hit row takes no clean one of the same id, or of none, with it.
+    """
+    key = {"_d": F.col(doc_id), "_h": F.xxhash64(text), "_k": F.xxhash64(F.lit(1), F.col(text))}
+    carried = F.struct(*[c.alias(k) for k, c in key.items()])
+    found = decontaminate(docs, items, doc_id=doc_id, text=text, carried=carried, **options).where("n_hit > 0")
+    gone, _ = materialize(found.select("doc_id.*").distinct().toDF("_d", "_h", "_k"), "contaminated")
+    same = docs[doc_id].eqNullSafe(gone["_d"]) & (F.xxhash64(docs[text]) == gone["_h"]) & (F.xxhash64(F.lit(1), docs[text]) == gone["_k"])
+    return docs.join(bounded(gone, gone.count(), KEY_BYTES), same, "left_anti")
