@@ -14,15 +14,16 @@ of the way from the 0.99 quantile of these distances to 1, ``max_distance`` at m
 any learned have the limit of the longest.  So random letters, other scripts and unlearned languages go at any length; an
 unlearned language that shares many grams with a learned one may stay where the text is short.
 
-Training: at most ``per_lang`` texts of each language, chosen by a hash of the id (the same
-rows at any partitioning); idf and centroids come from this bounded sample, which is all that
-comes to the driver, as sparse counts.
+Training: at most ``per_lang`` texts of each of the ``most_languages`` languages with most rows, and at most ``train_rows`` in
+all, chosen by a hash of the id (the same rows at any partitioning); idf and centroids come from this bounded sample, which is
+all that comes to the driver, as sparse counts.
 
 score: the share of the winner among the languages' best cosines, raised to a power (soft-max); 0 for ``und``.
 
 Defined cases: null texts and those without a letter are ``und`` with score 0 and rejected;
-null languages are never learned; with nothing to learn every text is ``und``; very long texts are counted whole, in
-slices; repeated rows are predicted each; other columns are ignored.
+null languages are never learned, null ids are (those that share a hash with the last one chosen may count as well); with
+nothing to learn every text is ``und``; texts of any length are counted whole, in memory of some ten times their size; of
+equal cosines the language that sorts first wins; repeated rows are predicted each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ from tidemark.llm.common import hash_share, materialize, per_batch, texts
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 #: bytes after lower-casing: ASCII letters and all non-ASCII stay, the rest are spaces
 _LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-SLICE = 8_000_000
+AT_ONCE = 1_000_000
 #: different grams from which the fitted limits hold
 SHORT = 64
 SLACK = 0.7
@@ -54,27 +55,28 @@ def has_letter(text: bytes | None) -> bool:
     return _ASCII_LETTER.search(text) is not None or (not text.isascii() and any(c.isalpha() for c in text.decode()))
 
 
-def grams(text: bytes, buckets: int) -> np.ndarray:
-    """Bucket of each 3-byte gram that isn't white space alone."""
-    clean = b" " + b" ".join(text.decode().lower().encode().translate(_LETTERS).split()) + b" "
-    b = np.frombuffer(clean, np.uint8).astype(np.uint32)
+def cleaned(text: bytes) -> np.ndarray:
+    """The lower-cased letters of the text as bytes, words between single spaces."""
+    return np.frombuffer(b" " + b" ".join(text.decode().lower().encode().translate(_LETTERS).split()) + b" ", np.uint8)
+
+
+def grams(clean: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each 3 bytes."""
+    b = clean.astype(np.uint32)
     if len(b) < 3:
         return np.zeros(0, np.int64)
     code = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
     return ((code * np.uint32(2654435761)) >> np.uint32(32 - buckets.bit_length() + 1)).astype(np.int64)
 
 
-def counts_of(batch: list[bytes | None], buckets: int) -> np.ndarray:
-    """Gram counts, a row a text."""
+def counts_of(batch: list[bytes | None], buckets: int, at_once: int = AT_ONCE) -> np.ndarray:
+    """Gram counts, a row a text.  A long text's grams are made ``at_once`` at a time; slices share two bytes, so none is lost or doubled."""
     out = np.zeros((len(batch), buckets), np.float32)
     for i, t in enumerate(batch):
-        if not t:
-            continue
-        for at in range(0, len(t), SLICE):
-            part = t[at : at + SLICE + 2]
-            if len(t) > SLICE:
-                part = part.decode(errors="ignore").encode()
-            out[i] += np.bincount(grams(part, buckets), minlength=buckets)
+        if t:
+            clean = cleaned(t)
+            for at in range(0, max(1, len(clean) - 2), at_once):
+                out[i] += np.bincount(grams(clean[at : at + at_once + 2], buckets), minlength=buckets)
     return out
 
 
@@ -173,6 +175,8 @@ def identify(
     lang: str = "lang",
     learn: Column | None = None,
     per_lang: int = 400,
+    most_languages: int = 1000,
+    train_rows: int = 8000,
     buckets: int = 8192,
     max_distance: float = 0.95,
     keep: list[str] | None = None,
@@ -184,14 +188,14 @@ def identify(
     """
     may = F.col(lang).isNotNull() & F.col(text).isNotNull() & (learn if learn is not None else F.lit(True))
     ranked = docs.where(may).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("h"))
+    sizes, _ = materialize(ranked.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(most_languages), "languages")
+    per_lang = min(per_lang, max(2, train_rows // max(1, sizes.count())))
     # the lowest hashes of a language are among a share of rows that holds about four times the wanted number
-    sizes, _ = materialize(ranked.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
-    few = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
     share = F.lit(4.0 * per_lang + 100) / F.col("rows")
-    ranked = ranked.join(few, "lang").where(hash_share("id", share)).select("id", "lang", "h")
+    ranked = ranked.join(F.broadcast(sizes), "lang").where(hash_share("id", share)).select("id", "lang", "h")  # most_languages rows at most
     first = Window.partitionBy("lang").orderBy("h", "id")
     chosen = ranked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("id", "lang")
-    sample = docs.where(may).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi")
+    sample = docs.where(may).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi")  # train_rows rows at most
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
