@@ -1,17 +1,18 @@
-"""Token counts by a map-side two-tier look-up: nothing but the input is read, nothing is shuffled.
+"""Token counts by a map-side two-tier look-up: no text and no segment is shuffled.
 
 A SentencePiece model without pieces that hold a space mark after another
 character can't merge across the start of a run of spaces, so a text's count is
 the sum over its segments (a run of spaces and what follows up to the next
-space).  Tier one is a compact table {segment: length} of frequent segments, built
-from a bounded sample and the model's own pieces and broadcast; tier two is a
+space).  Tier one is a compact table {segment: length} of frequent segments, built on the driver
+from the first ``sample_rows`` rows (of each its first ``SAMPLE_CHARS`` characters; a cache, counts don't depend on it) and broadcast; tier two is a
 bounded cache in each worker, filled by encoding misses.  Both only store what
 the library returns, so counts equal it exactly.  Models for which segments
 don't hold (checked when the model is loaded) and texts that hold the space mark
-itself are encoded whole.
+itself are encoded whole.  Long texts go through the tables part by part, cut where segments begin.
 
 Defined cases: null and empty text have 0 tokens and 0 bytes; texts of any length
-are counted whole; repeated rows are counted each; other columns are ignored.
+are counted whole, a single segment of any length in one call of the library; null ids stay null; repeated rows are counted each;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,15 +30,17 @@ from tidemark.llm.common import per_batch, texts
 
 SPACE_MARK = "▁"
 _RUNS = re.compile(rb" +[^ ]*")
-#: Longer segments aren't kept; longer texts are encoded whole, without the look-up: their segments may be huge.
-LONGEST_KEY, WHOLE_BYTES = 64, 4_000_000
+_START = re.compile(rb"[^ ](?= )")
+#: Longer segments aren't kept; longer texts are counted in parts of about this size.
+LONGEST_KEY, PART_BYTES = 64, 1_000_000
+SAMPLE_CHARS = 20_000
 AT_ONCE = 64
 
 
 class SegmentLengths(dict):
     """Segment (without its first space) -> token count; encodes misses, at most ``limit`` of them kept."""
 
-    def __init__(self, model_file: str, frequent: dict[bytes, int], limit: int) -> None:
+    def __init__(self, model_file: str, frequent: dict[bytes, int], limit: int, part_bytes: int = PART_BYTES) -> None:
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -58,7 +61,7 @@ class SegmentLengths(dict):
         )
         self.pieces = {p.piece for p in spec.pieces if p.type == 1}
         self.long: list[bytes] = []
-        self.limit, self.frequent = limit + len(frequent), frequent
+        self.limit, self.frequent, self.part_bytes = limit + len(frequent), frequent, part_bytes
 
     def learn(self, segments: set[bytes]) -> None:
         """Encodes the segments that aren't known in one call of the library."""
@@ -73,40 +76,56 @@ class SegmentLengths(dict):
         self.update(zip(missing, map(len, self.sp.encode([x.decode() for x in missing], num_threads=1)), strict=True))
         self[b""] = 1 if SPACE_MARK in self.pieces else len(SPACE_MARK.encode())  # a space alone
 
+    def _parts(self, text: bytes) -> Iterator[list[bytes] | int]:
+        """Lists of segments (without their first space) of the text's parts, or its whole count."""
+        if not self.segments_hold or b"\xe2\x96\x81" in text:
+            yield len(self.sp.encode(text.decode(), num_threads=1))
+            return
+        at = 0
+        while at < len(text):
+            cut = _START.search(text, at + self.part_bytes) if len(text) - at > self.part_bytes else None
+            end = cut.end() if cut else len(text)
+            part = text[at:end] if at else b" " + text[:end]  # later parts begin with their own space
+            if b"  " in part or part[-1:] == b" ":
+                yield [m[1:] for m in _RUNS.findall(part)]
+            else:
+                yield part[1:].split(b" ")
+            at = end
+
     def count_all(self, batch: list[bytes | None]) -> list[int]:
         """Token counts of some texts."""
-        parts: list[list[bytes] | int] = []
-        for text in batch:
-            if not text:
-                parts.append(0)
-            elif not self.segments_hold or b"\xe2\x96\x81" in text or len(text) > WHOLE_BYTES:
-                parts.append(len(self.sp.encode(text.decode(), num_threads=1)))
-            elif b"  " in text or text[:1] == b" " or text[-1:] == b" ":
-                parts.append([m[1:] for m in _RUNS.findall(b" " + text)])
-            else:
-                parts.append(text.split(b" "))
-        self.learn(set().union(*(x for x in parts if isinstance(x, list))))
+        out, open_, held = [0] * len(batch), [], 0
         get = self.__getitem__
-        return [x if isinstance(x, int) else sum(map(get, x)) for x in parts]
+
+        def settle() -> None:
+            self.learn(set().union(*(x for _, x in open_)))
+            for i, x in open_:
+                out[i] += sum(map(get, x))
+            open_.clear()
+
+        for i, text in enumerate(batch):
+            for part in self._parts(text) if text else ():
+                if isinstance(part, int):
+                    out[i] += part
+                    continue
+                open_.append((i, part))
+                held += len(part)
+                if held > self.part_bytes // 4:
+                    settle()
+                    held = 0
+        settle()
+        return out
 
 
 def frequent_segments(docs: DataFrame, text: str, model_file: str, sample_rows: int, size: int) -> dict[bytes, int]:
-    """At most ``size`` segments of the first ``sample_rows`` rows.  A cache only: counts don't depend on it."""
-
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        for b in batches:
-            for t in texts(b):
-                seen.update((t or b"").split(b" "))
-            if len(seen) > 8 * size:
-                seen = Counter(dict(seen.most_common(4 * size)))
-        table = SegmentLengths(model_file, {}, 1 << 20)
-        keys = [k for k, _ in seen.most_common(size)]
-        table.learn(set(keys))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([table[k] for k in keys], pa.int32())], ["k", "n"])
-
-    rows = docs.select(F.col(text).alias("text")).limit(sample_rows).coalesce(1).mapInArrow(top, "k binary, n int").collect()
-    return {bytes(r.k): r.n for r in rows}
+    """At most ``size`` segments of a few rows, taken from as few partitions as hold them."""
+    seen: Counter[bytes] = Counter()
+    for r in docs.select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("text")).limit(sample_rows).collect():
+        seen.update((r.text or "").encode().split(b" "))
+    table = SegmentLengths(model_file, {}, 1 << 20)
+    keys = [k for k, _ in seen.most_common(size)]
+    table.learn(set(keys))
+    return {k: table[k] for k in keys}
 
 
 def count_tokens(
