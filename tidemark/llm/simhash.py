@@ -7,11 +7,14 @@ other 11 bits (radius 11, never a constraint).  If two fingerprints differ in at
 2t bits, some point lies within t bits of both, and its anchor lies within the
 covering radius plus t of both, block by block.  So each distinct fingerprint is replicated to every anchor
 within radius plus t (spread over the blocks) and only fingerprints at a common anchor are compared.
-No pair is missed.
+No pair is missed.  With many fingerprints the 11 free bits get a code as well (another Hamming code and four bits as they are),
+so that an anchor holds few that are not near; either code finds every pair.
 
 Hot groups.  Equal fingerprints count once, with the smallest id.  At an anchor, fingerprints
 come sorted and are searched breadth first from seeds over those not yet reached, so
-a large group of near copies gives a tree of links and not all its pairs.
+a large group of near copies gives a tree of links and not all its pairs.  Anchors that hold over about ``block`` fingerprints
+are found in a sample of one in ``SHARE`` and cut into blocks, and a task gets two blocks: every two fingerprints of the anchor
+still meet in one.  The sample decides on the cut alone; compared are all.
 
 Defined cases: null, empty and word-less texts have fingerprint zero and link like any other; fewer words
 than a shingle make one shingle; repeated rows have equal fingerprints and link; null ids
@@ -22,7 +25,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, materialize, per_batch, texts
+from tidemark.llm.common import bounded, connected_components, materialize, per_batch, texts
 
 GOLAY = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 HAMMING = 0b1011  # x^3 + x + 1
+#: (bits, generator, covering radius) of each part of the code; generator 1 is the code of all words
 BLOCKS = ((23, GOLAY, 3), (23, GOLAY, 3), (7, HAMMING, 1))
+FINE = (*BLOCKS, (7, HAMMING, 1), (4, 1, 0))
+#: fingerprints from which the fine code is used; sampling of hot anchors; fingerprints of a block
+FINE_FROM, SHARE, BLOCK = 50_000_000, 64, 16_384
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -113,29 +120,30 @@ class BlockCode:
         return np.where(e < 0, -1, (block[:, None] ^ e) >> self.check)
 
 
-_codes: dict[int, list[BlockCode]] = {}
+_codes: dict[tuple, list[BlockCode]] = {}
 
 
-def anchors_of(fp: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors_of(fp: np.ndarray, t: int, blocks: tuple = BLOCKS) -> tuple[np.ndarray, np.ndarray]:
     """(index into fp, anchor) for every anchor within the covering radius plus t."""
-    if t not in _codes:
-        _codes[t] = [BlockCode(n, g, r, t) for n, g, r in BLOCKS]
-    u, parts, shift = fp.view(np.uint64), [], 0
-    for code in _codes[t]:
+    if (t, blocks) not in _codes:
+        _codes[t, blocks] = [BlockCode(n, g, r, t) for n, g, r in blocks]
+    codes, u, parts, shift = _codes[t, blocks], fp.view(np.uint64), [], 0
+    for code in codes:
         block = ((u >> np.uint64(shift)) & np.uint64((1 << code.n) - 1)).astype(np.int64)
         parts.append([code.anchors(block, level) for level in range(t + 1)])
         shift += code.n
-    k = [code.n - code.check for code in _codes[t]]
     index, key = [], []
-    for a in range(t + 1):
-        for b in range(t + 1 - a):
-            for c in range(t + 1 - a - b):
-                x, y, z = parts[0][a][:, :, None, None], parts[1][b][:, None, :, None], parts[2][c][:, None, None, :]
-                ok = (x >= 0) & (y >= 0) & (z >= 0)
-                anchor = np.broadcast_to(x | y << k[0] | z << (k[0] + k[1]), ok.shape)
-                at = np.nonzero(ok)
-                index.append(at[0])
-                key.append(anchor[at])
+    for levels in product(range(t + 1), repeat=len(codes)):
+        if sum(levels) > t:
+            continue
+        at, anchor, width = np.arange(len(fp)), np.zeros(len(fp), np.int64), 0
+        for code, part, level in zip(codes, parts, levels, strict=True):
+            own = part[level][at]
+            row, column = np.nonzero(own >= 0)
+            at, anchor = at[row], anchor[row] | own[row, column] << width
+            width += code.n - code.check
+        index.append(at)
+        key.append(anchor)
     return np.concatenate(index), np.concatenate(key)
 
 
@@ -155,16 +163,17 @@ def _near(run: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
                 left = left[~close]
 
 
-def near_links(distinct: DataFrame, most: int) -> DataFrame:
+def near_links(distinct: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     """(u, v) links of fingerprints that differ in at most ``most`` bits, spanning their components."""
     t = (most + 1) // 2
+    blocks = FINE if distinct.count() >= FINE_FROM else BLOCKS
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column("fp").to_numpy()
             for i in range(0, len(fp), 2048):
                 own = fp[i : i + 2048]
-                at, anchor = anchors_of(own, t)
+                at, anchor = anchors_of(own, t, blocks)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(own[at])], ["anchor", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +220,14 @@ def near_links(distinct: DataFrame, most: int) -> DataFrame:
             yield links([np.concatenate(held)])
 
     replicas = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long")
+    some = distinct.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(SHARE)) == 0).mapInArrow(replicate, "anchor long, fp long")
+    hot = some.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") * SHARE > block)
+    hot, _ = materialize(hot.select("anchor", F.ceil(F.col("n") * SHARE / block).cast("int").alias("blocks")), "hot")
+    if n := hot.count():
+        cut = replicas.join(bounded(hot, n, 48), "anchor", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("anchor", F.least(o, F.col("own")), F.greatest(o, F.col("own"))))
+        # two groups that share a hash are compared as one, which finds no less
+        replicas = cut.select(F.explode(F.when(F.col("blocks").isNull(), F.array("anchor")).otherwise(pairs)).alias("anchor"), "fp")
     return replicas.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(compare, "u long, v long")
 
 
