@@ -3,19 +3,21 @@
 Writing.  Every row becomes one gzip member that holds one record.  Of rows with equal
 payloads of at least ``min_revisit_bytes`` bytes the one with the largest key is a ``response``; the others are
 ``revisit`` records that name it and carry only the HTTP header.  Payloads meet by SHA-1 digest:
-counts are pre-aggregated, and the few repeated digests are joined back to the rows under a
-salt, so that one digest with a third of all rows is spread over tasks.  Tasks write files of
+counts are pre-aggregated, and the repeated digests are joined back to the rows: broadcast if their counted number keeps to
+a bound of bytes, so that no page is moved; else by a shuffle under salts, as many as the most frequent digest needs for
+``ROWS_A_SALT`` rows each.  Tasks write files of
 their own in the shared folder and return their names; only files of tasks that
 succeeded are listed, so retried tasks add no records.
 
 Reading.  A task gets a byte range.  It looks for the gzip magic, takes a candidate only if it
-inflates to a WARC header that can be decoded, and owns all records that start inside its range;
-the last may end beyond.  From the first valid start on, members follow one another.
+inflates to a WARC header, of any length, that can be decoded, and owns all records that start inside its range;
+the last may end beyond.  Ranges are cut on the executors from the list of archives, of which there is one a writing task.  From the first valid start on, members follow one another.
 Corrupt members are skipped to the next valid start.
 
 Defined cases: null payloads and urls are empty; null keys write an empty key, read back as null, and
 count as smaller than any other; rows with equal payloads and equal largest keys are all responses;
-an empty table writes no archive and reads to no rows; other columns are ignored.
+an empty table writes no archive and reads to no rows; payloads and urls of any length are written and read whole, in the memory of a task;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from tidemark.llm.common import materialize, new_path, texts
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SALTS = 16
+ROWS_A_SALT, DIGEST_BYTES = 20_000, 96
 CHUNK = 1 << 20
 DATE = "2000-01-01T00:00:00Z"
 
@@ -77,6 +79,7 @@ def write_warc(
     url: str = "url",
     payload: str = "html",
     min_revisit_bytes: int = 0,
+    bound_bytes: int = 32 << 20,
 ) -> list[tuple[str, int]]:
     """Writes the archives; returns their names and sizes (one file a task at most)."""
     spark = pages.sparkSession
@@ -84,15 +87,15 @@ def write_warc(
     src = pages.select(
         F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("body")
     ).withColumn("sha", F.unhex(F.sha1("body")))
-    repeated = (
-        src.where(F.octet_length("body") >= min_revisit_bytes)
-        .groupBy("sha")
-        .agg(F.count("*").alias("n"), F.max("key").alias("top_key"))
-        .where("n > 1")
-        .select("sha", "top_key", F.lit(True).alias("again"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    repeated, _ = materialize(repeated, "repeated")
-    decided = src.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int")).join(repeated, ["sha", "salt"], "left")
+    repeated = src.where(F.octet_length("body") >= min_revisit_bytes).groupBy("sha").agg(F.count("*").alias("n"), F.max("key").alias("top_key")).where("n > 1")
+    repeated, _ = materialize(repeated.select("sha", "n", "top_key", F.lit(True).alias("again")), "repeated")
+    size, most = repeated.agg(F.count("*"), F.max("n")).first()
+    if size * DIGEST_BYTES <= bound_bytes:
+        decided = src.join(F.broadcast(repeated.drop("n")), "sha", "left")
+    else:
+        salts = max(1, -(-most // ROWS_A_SALT))
+        salted = repeated.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        decided = src.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(salts)).cast("int")).join(salted, ["sha", "salt"], "left")
     rows = decided.select(
         F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"),
         "url",
@@ -207,8 +210,8 @@ def read_warc(spark: SparkSession, archives: list[tuple[str, int]], *, range_byt
     A response's payload is held against its digest; a mismatch raises.
     """
     schema = "record_key string, record_type string, refers_to_key string, url string, payload_bytes long, payload_digest string" + ", payload binary" * payload
-    ranges = [(p, a, min(a + range_bytes, n)) for p, n in archives for a in range(0, n, range_bytes)]
-    if not ranges:
+    archives = [(p, n) for p, n in archives if n]
+    if not archives:
         return spark.createDataFrame([], schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,5 +240,8 @@ def read_warc(spark: SparkSession, archives: list[tuple[str, int]], *, range_byt
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    src = spark.createDataFrame(ranges, "path string, start long, end long").repartition(min(len(ranges), 10_000))
+    tasks = min(10_000, max(1, sum(-(-n // range_bytes) for _, n in archives)))
+    whole = spark.createDataFrame(archives, "path string, size long").repartition(min(len(archives), tasks))
+    cut = whole.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
+    src = cut.select("path", "start", F.least(F.col("start") + range_bytes, F.col("size")).alias("end")).repartition(tasks)
     return src.mapInArrow(read, schema)
