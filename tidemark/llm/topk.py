@@ -3,9 +3,10 @@
 Vectors are lifted by one component, sqrt(M^2 - |v|^2) with M the largest norm and 0 for queries, so that
 |q' - v'|^2 = |q|^2 + M^2 - 2 q.v and the largest inner products are the nearest neighbours.  Pivots come
 from a bounded sample of ``sample_rows`` rows; every row is indexed under its nearest pivot, in
-annuli of the distance to it (cells).  A query first searches the annulus around its own
-distance at its nearest pivot, then expands to every annulus [a, b] of every pivot with
-|D - r| <= its k-th distance for some r in [a, b] (triangle inequality); all others are passed over.
+annuli of the distance to it (cells).  A query sorts the annuli [a, b] of all pivots by the least distance
+that the triangle inequality allows there, |D - r| over r in [a, b], and searches them in this order in waves
+(``WAVES`` annuli each, the last all that are left).  After each wave its k-th distance is smaller or the same, and it stops at
+the first annulus beyond it; a query that has stopped sends nothing to later waves.
 Bounds carry a margin for rounding, and scores are exact integers.
 
 Cells are cut into blocks of at most about ``block_rows`` rows by a salt, and the queries that visit a cell into blocks
@@ -14,7 +15,7 @@ as well, so that no task gets a whole hot cell or all queries.  A pair of blocks
 Defined cases: rows with a null id, a null vector, null or non-finite components, or another
 length than most vectors take no part; equal rows are separate candidates, a query row never finds itself; ties go
 to the smaller id; scores beyond a long are held at its ends; fewer than k candidates give all;
-an empty table or query set gives no rows; other columns are ignored.
+an empty table or query set gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialize
 
 RESULT = "quid long, query_id long, vec_id long, score long"
+#: places in a query's sorted annuli at which waves end
+WAVES = (1, 4, 16, 1 << 30)
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -155,8 +158,8 @@ def search(
     cells = np.array(sorted(stats), np.int32)
     lo, hi = (np.array([stats[c][i] for c in cells.tolist()]) for i in (0, 1))
 
-    def visit(first: bool):
-        """The cells that a query must search: (quid, query_id, q, cell)."""
+    def visit(begin: int, end: int):
+        """The cells at these places of a query's order that it must search: (quid, query_id, q, cell)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, _ = shared.value
@@ -166,20 +169,13 @@ def search(
                 q = _matrix(b.column("v"), dim)
                 d = p.queries(q)[:, cells // p.rings]
                 below = np.maximum(0.0, np.maximum(lo[None] - d, d - hi[None]))
-                home = below.argmin(1)
-                if first:
-                    at = (np.arange(len(q)), home)
-                else:
-                    got = b.column("floor").to_numpy(zero_copy_only=False)  # the k-th score so far, null if there are fewer
-                    far = np.where(np.isnan(got), np.inf, p.reach(q, got))
-                    slack = 1e-9 * (np.abs(d).max(initial=1.0) + np.sqrt(p.top2)) + 1e-6 * np.sqrt(p.top2)
-                    near = below <= far[:, None] + slack
-                    near[np.arange(len(q)), home] = False
-                    at = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("uid").take(pa.array(at[0])), b.column("vec_id").take(pa.array(at[0])), b.column("v").take(pa.array(at[0])), pa.array(cells[at[1]])],
-                    ["quid", "query_id", "q", "cell"],
-                )
+                order = np.argsort(below, axis=1, kind="stable")[:, begin:end]
+                got = b.column("floor").to_numpy(zero_copy_only=False)  # the k-th score so far, null if there are fewer
+                far = np.where(np.isnan(got), np.inf, p.reach(q, got))
+                slack = 1e-9 * (np.abs(d).max(initial=1.0) + np.sqrt(p.top2)) + 1e-6 * np.sqrt(p.top2)
+                row, place = np.nonzero(np.take_along_axis(below, order, 1) <= far[:, None] + slack)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column("uid").take(take), b.column("vec_id").take(take), b.column("v").take(take), pa.array(cells[order[row, place]])], ["quid", "query_id", "q", "cell"])
 
         return run
 
@@ -210,10 +206,18 @@ def search(
         return v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(match, RESULT)
 
     queries = indexed.where(is_query)
-    order = [F.desc("score"), F.asc("vec_id")]
-    best = Window.partitionBy("quid").orderBy(*order)
-    first, _ = materialize(wave(queries.select("uid", "vec_id", "v").mapInArrow(visit(True), "quid long, query_id long, q binary, cell int"), "home"), "first")
-    kth = first.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select(F.col("quid").alias("uid"), F.col("score").cast("double").alias("floor"))
-    second = queries.join(kth, "uid", "left").select("uid", "vec_id", "v", "floor").mapInArrow(visit(False), "quid long, query_id long, q binary, cell int")
-    found = first.union(wave(second, "annuli"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = Window.partitionBy("quid").orderBy(F.desc("score"), F.asc("vec_id"))
+    found, begin = None, 0
+    for number, end in enumerate(WAVES):
+        if begin >= len(cells):
+            break
+        if found is None:
+            asked = queries.select("uid", "vec_id", "v", F.lit(None).cast("double").alias("floor"))
+        else:
+            kth = found.where(F.col("n") == k).select(F.col("quid").alias("uid"), F.col("score").cast("double").alias("floor"))
+            asked = queries.join(kth, "uid", "left").select("uid", "vec_id", "v", "floor")
+        got = wave(asked.mapInArrow(visit(begin, end), "quid long, query_id long, q binary, cell int"), f"wave{number}")
+        so_far = got if found is None else found.drop("n").union(got)
+        found, _ = materialize(so_far.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k), f"best{number}")
+        begin = end
+    return found.select("query_id", F.col("n").cast("int").alias("rank"), "vec_id", "score")
