@@ -69,3 +69,40 @@ def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_judge_rows_not_ids(spark, tmp_path):
+    """Null ids, ids that stand twice, equal rows, ties, long texts and extra columns go through every stage."""
+    rng = random.Random(77)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item, copy, long, front = make(30), make(80), make(60_000), make(50)
+    rows = [(i, make(60), "en") for i in range(40)]
+    rows += [(None, front + " " + item, "en"), (None, make(70), None), (50, make(40) + " " + item, "en"), (50, make(90), "en"), (51, copy, "en"), (51, copy, "en"), (None, copy, "en"), (52, long, "en"), (53, None, None), (53, "", "en")]
+    schema = SCHEMA + ", uid string, spans int, _gone int, key long, new string, fp long"
+    docs = spark.createDataFrame([(i, t, k, "s", 1, "u", 1, 2, 3, "n", 4) for i, t, k in rows], schema).repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert docs.columns == columns
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    clean = sorted(t for i, t, _ in rows if t and item not in t and t != copy)
+    assert sorted(r.text for r in spark.read.parquet(f"{tmp_path}/decontamination").collect()) == sorted([*clean, copy, front])  # the row without an id lost the item's words to the earlier one of id 50, and is clean
+    assert spark.read.parquet(f"{tmp_path}/near_dedup").where("doc_id = 51").count() == 1
+    assert {r.doc_id for r in docs.collect()} == {*range(40), None, 50, 51, 52}
+
+
+def test_run_deletes_what_it_no_longer_needs(spark, folder):
+    import os
+
+    from tidemark.llm import common
+
+    path, _ = folder
+    before = set(common.made)
+    out = corpus_pipeline.run(spark, path)
+    left = [p for p in common.made if p not in before]
+    assert len(left) == 1 and os.path.isdir(left[0].removeprefix("file:").replace("//", "/")) and out.count() > 0
