@@ -29,11 +29,12 @@ from tidemark.functions.reduce import FIT, REDUCTIONS
 from tidemark.functions.scalar import BOOLEAN, ELEMENTWISE, erfc_of_column, finite, nan
 from tidemark.operators.kernels import KERNELS
 from tidemark.plans import numeric
+from tidemark.plans.arrays import ARRAY_OPERATORS, Arrays
 from tidemark.plans.expr import Call, ExpressionError, Name, Node, Number, parse
 from tidemark.plans.expr import names as names_of
 from tidemark.plans.frame import POS, IntervalFrame
+from tidemark.plans.value import ARRAY, RECORD, SCALAR, SERIES, WINDOW, Value, common_drop, deep
 
-SCALAR, SERIES, RECORD, WINDOW = "scalar", "series", "record", "window"
 STATUS = {"DIVIDE_BY_ZERO": 2, "DOMAIN_ERROR": 3}
 SOLVER = {1: "INVALID_PARAMETER", 2: "NONFINITE_RESULT", 3: "ROOT_NOT_BRACKETED", 4: "NON_CONVERGENCE"}
 REWRITES = {
@@ -48,26 +49,6 @@ LINEAR = {"add", "subtract", "multiply", "negate", "active_returns", "logical_an
 HEAVY = 24
 
 
-@dataclass(eq=False)
-class Value:
-    """A node: its kind, its expression over columns that exist at ``level``, and its status there."""
-
-    kind: str
-    column: Column | None = None
-    level: int = 0
-    status: Column | None = None
-    fields: dict[str, Value] = field(default_factory=dict)
-    drop: object = 0  # rows at the end that the series doesn't have; series mix only where these are equal
-    reduction: Callable[[Callable], tuple] | None = None  # delayed: a group or a window form
-    parents: tuple[Value, ...] = ()
-    name: str = ""
-    literal: float | None = None
-    dtype: str = "double"
-    feeds_series: bool = False
-    window: tuple[Value, int, int] | None = None
-    weight: int = 1  # about the size of the expression
-
-
 @dataclass(eq=False)
 class Child:
     """A scope: how rows enter its groups, its plan, and the values that its bodies leave on each row."""
@@ -93,7 +74,7 @@ class Child:
         return inner.select(*[F.col(outer if c == POS else c).alias(c) for c in df.columns], *self.keeps, *names)
 
 
-class Plan:
+class Plan(Arrays):
     """A compiled set of roots over a frame."""
 
     def __init__(self, frame: IntervalFrame, fields: set[str], parameters: dict[str, float] | None = None, error_policy: str = "raise") -> None:
@@ -156,12 +137,14 @@ class Plan:
         args = [self.node(a) for a in tree.args]
         if args and args[0].kind == WINDOW:
             return self._rolling_reducer(op.name, args[0])
+        if op.name in ARRAY_OPERATORS or any(a.kind == ARRAY for a in args):
+            return self._array(op.name, args)
         for table, make in ((ELEMENTWISE, self._elementwise), (REDUCTIONS, self._reduction), (KERNELS, self._kernel)):
             if op.name in table:
                 return make(op.name, args)
         if handler := getattr(self, "_op_" + op.name, None):
             return handler(*args)
-        raise ExpressionError(f"{op.name} works on matrices; use tidemark.operators.matrix or tidemark.operators.latent")
+        raise ExpressionError(f"{op.name} works on arrays: bind one, or use the frames of tidemark.operators")
 
     def _inline(self, body: Node, binding: dict[str, Node]) -> Value:
         return self.node(_put(body, binding))
@@ -193,7 +176,7 @@ class Plan:
 
     def _elementwise(self, name: str, args: list[Value]) -> Value:
         kind = SERIES if any(a.kind == SERIES for a in args) else SCALAR
-        drop = _common_drop(name, args)
+        drop = common_drop(name, args)
         if args and all(a.literal is not None for a in args) and name in numeric.ELEMENT and name not in BOOLEAN:
             with np.errstate(all="ignore"):
                 folded = float(numeric.ELEMENT[name](*[a.literal for a in args]))
@@ -202,19 +185,8 @@ class Plan:
         dtype = "boolean" if name in BOOLEAN else "long" if name == "state_select" else "double"
         if name in ("where",) and all(a.dtype == args[1].dtype for a in args[1:]):
             dtype = args[1].dtype
-        if kind == SCALAR and any(a.reduction is not None for a in _deep(args)):
-            v = Value(SCALAR, None, self._level(args), parents=tuple(args), dtype=dtype)
-            policy = self.policy
-
-            def build(read: Callable[[Value], tuple[Column, Column | None]]) -> tuple:
-                got = [read(a) for a in args]
-                value, failed, error = ELEMENTWISE[name](*[c for c, _ in got])
-                shown = [Value(SCALAR, c, status=s) for c, s in got]
-                return self._guard(value, failed, error, shown, True, dtype, policy)
-
-            v.reduction = build
-            v.name = "scalar"
-            return v
+        if kind == SCALAR and any(a.reduction is not None for a in deep(args)):
+            return self._combined(ELEMENTWISE[name], args, dtype)
         if name == "normal_cdf" and kind == SERIES and not self.locals:
             level = args[0].level + 1
             z = self._stage(-self._read_series(args[0]) / F.lit(math.sqrt(2.0)), level)
@@ -240,7 +212,7 @@ class Plan:
 
     def _read_series(self, v: Value) -> Column:
         """A value where a series consumes it."""
-        for d in _deep([v]):
+        for d in deep([v]):
             d.feeds_series = True
         return self._read(v)
 
@@ -249,9 +221,12 @@ class Plan:
             def read(a: Value) -> tuple[Column, Column | None]:
                 return self._read(a), a.status
 
-            out = v.reduction(read)
+            value, status = v.reduction(read)
             v.level = self._level(list(v.parents))
-            return out
+            if v.dtype != "record":
+                return value, status
+            v.level += 1
+            return self._stage(value, v.level), None if status is None else self._stage(status, v.level)
         level = self._level(list(v.parents)) + 1
         spec = self._spec()
         value, status = v.reduction(lambda c: c.over(v_spec) if (v_spec := spec) is not None else c)
@@ -324,7 +299,7 @@ class Plan:
         c = self._stage(value, level)
         if status is not None:
             c = F.when(status == 0, c).otherwise({"double": nan(), "boolean": F.lit(False), "long": F.lit(0).cast("long")}[dtype])
-        return Value(SERIES, c, level, status, drop=_common_drop("a window", args) if drop is None else drop, parents=tuple(args), dtype=dtype)
+        return Value(SERIES, c, level, status, drop=common_drop("a window", args) if drop is None else drop, parents=tuple(args), dtype=dtype)
 
     def _kernel(self, name: str, args: list[Value]) -> Value:
         k = KERNELS[name]
@@ -800,6 +775,8 @@ class Plan:
                 v = self.node(tree)
                 if v.literal is not None:
                     return Number(v.literal)
+                if v.kind == ARRAY:
+                    raise ExpressionError(f"{unknown} can't stand beside an array")
                 key = next((k for k, x in inputs.items() if x is v), f"{unknown}_{len(inputs)}")
                 inputs[key] = v
                 return Name(key)
@@ -817,7 +794,7 @@ class Plan:
                 return pd.DataFrame(dict(zip(outputs, run(*[c.to_numpy(dtype=float) for c in columns]), strict=True)))
 
         made = F.pandas_udf(f, ", ".join(f"{o} double" for o in outputs))
-        if not any(a.kind == SERIES for a in args) and any(a.reduction is not None for a in _deep(args)):
+        if not any(a.kind == SERIES for a in args) and any(a.reduction is not None for a in deep(args)):
             record = Value(SCALAR, None, 0, parents=tuple(args), name="scalar", dtype="record")
 
             def build(read: Callable) -> tuple:
@@ -837,7 +814,7 @@ class Plan:
         record = self._stage(made(*[self._read_series(a).cast("double") for a in args]), level)
         codes = self._status_of(args)
         status = None if not codes else codes[0] if len(codes) == 1 else F.greatest(*codes)
-        return {o: Value(SERIES, record[o], level, status, drop=_common_drop("a solver", args), parents=tuple(args)) for o in outputs}
+        return {o: Value(SERIES, record[o], level, status, drop=common_drop("a solver", args), parents=tuple(args)) for o in outputs}
 
     def _checked(self, v: Value, code: Value) -> Value:
         """A solver's value, which fails where its code isn't 0."""
@@ -996,12 +973,29 @@ class Plan:
         """One row an interval."""
         delayed: dict[Value, tuple[str, str | None]] = {}
         aggregates: list[Column] = []
+        made: dict[Value, tuple[Column, Column | None]] = {}
+        depths: dict[Value, int] = {}
+        late: dict[int, list[Column]] = {}  # records of vectorised functions, each a column of its own after the groupBy
+
+        def depth(v: Value) -> int:
+            if v not in depths:
+                depths[v] = max(map(depth, v.parents), default=0) + (v.dtype == "record") if v.name == "scalar" else 0
+            return depths[v]
 
         def collect(v: Value) -> tuple[Column, Column | None]:
             if v.literal is not None:
                 return v.column, None
             if v.column is None and v.name == "scalar":
-                return v.reduction(collect)
+                if v not in made:
+                    made[v] = v.reduction(collect)
+                    if v.dtype == "record":
+                        value, status = made[v]
+                        name = f"_l{len(made)}"
+                        late.setdefault(depth(v), []).append(value.alias(name))
+                        if status is not None:
+                            late[depth(v)].append(status.alias(name + "s"))
+                        made[v] = F.col(name), None if status is None else F.col(name + "s")
+                return made[v]
             if v not in delayed:
                 name = f"_a{len(delayed)}"
                 if v.column is None:
@@ -1017,6 +1011,8 @@ class Plan:
 
         got = {k: collect(v) for k, v in roots.items()}
         df = self._staged().groupBy(*self.frame.keys).agg(*(aggregates or [F.count(F.lit(1)).alias("_n")]))
+        for level in sorted(late):
+            df = df.select("*", *late[level])
         out = []
         for k, (value, status) in got.items():
             out.append(value.alias(k))
@@ -1034,7 +1030,7 @@ class Plan:
         return self._staged().select(*self.frame.keys, POS, *columns)
 
 
-_SCOPES = {"interval_tail", "rolling_window", "rolling_apply", "block_apply", "group_apply", "filter_apply", "segment_apply", "bisect", "iterate", "iteration record", "iteration_status", "iteration_count", "iteration_residual"}
+_SCOPES = {"interval_tail", "rolling_window", "rolling_apply", "block_apply", "group_apply", "filter_apply", "segment_apply", "bisect", "iterate", "array literal", "iteration record", "iteration_status", "iteration_count", "iteration_residual"}
 #: operators that need positions without gaps inside a scope's group
 DENSE = {
     "linear_slope", "linear_intercept", "linear_r_squared", "regression_standard_error", "linear_fit", "argmin", "argmax", "value_at", "lag", "difference", "aligned_shift", "last_drawdown_interval",
@@ -1047,7 +1043,7 @@ _FIELD_OPS = {
     "fit_slope": "slope", "fit_intercept": "intercept", "fit_residual_sum_squares": "rss", "fit_total_sum_squares": "tss", "fit_observation_count": "n",
     "state_estimate": "estimate", "state_variance": "variance",
     "continuous_state_values": "state", "continuous_state_evidence": "evidence", "continuous_state_pending": "pending_count",
-    "segment_starts": "start", "segment_ends": "end",
+    "segment_starts": "start", "segment_ends": "end", "eigenvalues": "eigenvalues", "eigenvectors": "eigenvectors",
 }
 for _op, _field in _FIELD_OPS.items():
     setattr(Plan, "_op_" + _op, lambda self, record, f=_field: record.fields[f])
@@ -1065,24 +1061,6 @@ def _less(drop: object, k: int) -> object:
     return drop + k if isinstance(drop, int) else (*drop, k) if k else drop
 
 
-def _common_drop(name: str, args: list[Value]) -> object:
-    drops = {a.drop for a in args if a.kind == SERIES}
-    if len(drops) > 1:
-        raise ExpressionError(f"{name} mixes series of different lengths")
-    return next(iter(drops), 0)
-
-
-def _deep(values: list[Value]) -> list[Value]:
-    """The delayed scalars among the values and below them."""
-    out = []
-    for v in values:
-        if v.reduction is not None:
-            out.append(v)
-            if v.name == "scalar":
-                out += _deep(list(v.parents))
-    return out
-
-
 def _to_numpy(c: pa.ChunkedArray) -> np.ndarray:
     c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
     c = c.drop_null() if c.null_count else c  # rows that a shortened series doesn't have are at its end
@@ -1096,12 +1074,15 @@ def evaluate(
     error_policy: str = "raise",
     bindings: dict[str, str] | None = None,
     minimum_observations: int = 0,
+    arrays: dict[str, list] | None = None,
 ) -> DataFrame:
     """Evaluates the roots over every interval of the frame.
 
     All-scalar roots give a row an interval; otherwise a row an interval and position, scalars repeated.
     ``bindings`` name expressions that roots and later bindings may use.  Intervals with fewer rows than
-    ``minimum_observations`` fail, or get status 1 and NaN.
+    ``minimum_observations`` fail, or get status 1 and NaN.  ``arrays`` name nested lists of expressions and numbers: a list
+    of series is a matrix whose first axis is time.  A root that is an array gives nested array columns, a row of a
+    matrix with time on each position.
     """
     if isinstance(expressions, str):
         expressions = [expressions]
@@ -1109,24 +1090,53 @@ def evaluate(
         expressions = {f"r{i}": e for i, e in enumerate(expressions)}
     fields = set(frame.data.columns) - set(frame.keys) - {POS}
     plan = Plan(frame, fields, parameters, error_policy)
-    for name, e in (bindings or {}).items():
-        if name in fields or name in plan.parameters:
+    for name, e in [*(arrays or {}).items(), *(bindings or {}).items()]:
+        if name in fields or name in plan.parameters or name in plan.bindings:
             raise ExpressionError(f"{name} is bound already")
-        plan.bindings[name] = parse(e)
+        plan.bindings[name] = _tree(e)
         if name in names_of(plan.bindings[name]):
             raise ExpressionError(f"{name} names itself")
     roots = {k: plan.node(parse(e)) for k, e in expressions.items()}
     if any(v.kind in (RECORD, WINDOW) for v in roots.values()):
         raise ExpressionError("records and windows must be projected before they are a root")
-    scalar = all(v.kind == SCALAR for v in roots.values())
+    leaves: dict[int, tuple[str, Value]] = {}
+    for v in roots.values():
+        for cell in v.cells.reshape(-1) if v.kind == ARRAY else ():
+            leaves.setdefault(id(cell), (f"_r{len(leaves)}", cell))
+    plain = {k: v for k, v in roots.items() if v.kind != ARRAY} | dict(leaves.values())
+    timed = any(v.timed for v in roots.values()) or any(v.kind == SERIES for v in plain.values())
+    out = _plain_roots(plan, plain, not timed, minimum_observations, min(fields, default=""))
+    if not leaves:
+        return out
+    values = {i: F.col(n) for i, (n, _) in leaves.items()}
+    codes = {i: F.col(n + "_status") for i, (n, _) in leaves.items()}
+    columns = []
+    for k, v in roots.items():
+        columns.append(plan._nested(v.cells, values).alias(k) if v.kind == ARRAY else F.col(k))
+        if error_policy == "isolate":
+            own = [codes[i] for i in {id(c): 0 for c in v.cells.reshape(-1)}] if v.kind == ARRAY else [F.col(k + "_status")]
+            columns.append((F.greatest(*own) if len(own) > 1 else own[0]).alias(k + "_status"))
+    return out.select(*frame.keys, *([POS] if timed else []), *columns)
+
+
+def _tree(e: str | float | list) -> Node:
+    """The syntax tree of an expression, a number or a nested list of them."""
+    if isinstance(e, str):
+        return parse(e)
+    if isinstance(e, list | tuple | np.ndarray):
+        return Call("array literal", tuple(map(_tree, e)))
+    return Number(float(e))
+
+
+def _plain_roots(plan: Plan, roots: dict[str, Value], scalar: bool, minimum_observations: int, some_field: str) -> DataFrame:
     if not minimum_observations:
         return plan.scalars(roots) if scalar else plan.series(roots)
     if "_rows" in roots:
         raise ExpressionError("_rows is reserved")
-    size = plan.node(Call("length", (Name(min(fields)),)))
+    size = plan.node(Call("length", (Name(some_field),)))
     out = plan.scalars(roots | {"_rows": size}) if scalar else plan.series(roots | {"_rows": size})
     short = F.col("_rows") < minimum_observations
-    if error_policy == "raise":
+    if plan.policy == "raise":
         return out.withColumns({k: F.when(short, F.raise_error(F.lit("INSUFFICIENT_OBSERVATIONS"))).otherwise(F.col(k)) for k in roots}).drop("_rows")
     empty = {"double": nan(), "boolean": F.lit(False)}
     kinds = dict(out.dtypes)

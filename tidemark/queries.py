@@ -579,6 +579,24 @@ def op_array_shapes(spark, sf_dir):  # noqa: ANN001, ANN201
     return _stacked(parts, ["i", "j", "k"])
 
 
+_PAIR = "var_samp(nav) AS a, covar_samp(nav, code) AS b, var_samp(code) AS c, avg(nav) AS x, avg(code) AS y"
+
+
+@query(
+    f"WITH {E}, q AS (SELECT user_id, {_PAIR}, var_samp(0.5 * nav + 0.3 * code + 0.2 * nav * code) AS risk, min(least(nav, code, nav * code)) AS worst, avg(exp(nav / 100) / (exp(nav / 100) + exp(code))) AS share FROM e GROUP BY user_id) "
+    + sql({"risk": "risk", "worst": "worst", "share": "share", "b0": "((c + 1) * x - b * y) / ((a + 1) * (c + 1) - b * b)", "b1": "((a + 1) * y - b * x) / ((a + 1) * (c + 1) - b * b)", "e1": "(a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b)"}, "FROM q", "user_id", 4)
+)
+def array_expressions(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Matrices in expressions: a portfolio's variance, extremes and softmax of rows, a regularised system and an eigenvalue a user."""
+    roots = {
+        "risk": "quadratic_form(w, covariance(x))", "worst": "min_value(min_asset(x))", "share": "mean(sum_axis(take_axis(softmax_axis(z, 1), 0, 1), 1))",
+        "b": "solve(covariance(p) + one, mean_time(p))", "e1": "max_axis(eigenvalues(symmetric_eigh(covariance(p))), 0)",
+    }
+    arrays = {"x": ["nav", "code", "nav * code"], "w": [0.5, 0.3, 0.2], "p": ["nav", "code"], "z": ["nav / 100", "code"], "one": [[1, 0], [0, 1]]}
+    out = evaluate(events(spark, sf_dir), roots, arrays=arrays)
+    return rounded(out.select("*", F.col("b")[0].alias("b0"), F.col("b")[1].alias("b1")).drop("b"), 4)
+
+
 _SPD = f"WITH {E}, q AS (SELECT user_id, sum(nav * nav) + 1 AS a, sum(nav) AS b, count(*) * 1.0 + 1 AS c, sum(nav * pos) AS x, sum(pos) * 1.0 AS y FROM e GROUP BY user_id), d AS (SELECT *, a * c - b * b AS det, sqrt(a) AS l11, b / sqrt(a) AS l21, sqrt(c - b * b / a) AS l22, (a + c) / 2 AS h, sqrt((a - c) * (a - c) / 4 + b * b) AS g FROM q) "
 
 
