@@ -39,6 +39,31 @@ def test_steps_equal_batch_kernels():
     assert (a, step(state, 3.0)[1]) == (0.0, -0.25)
 
 
+def stepped(operator, xs):
+    step, state = operator
+    out = []
+    for v in xs:
+        state, y = step(state, float(v))
+        out.append(y)
+    return out
+
+
+def test_filters_equal_batch_kernels():
+    from tidemark.operators.kernels import scalar_kalman, state_confirm
+    from tidemark.operators.latent import filters_of
+
+    r = np.random.default_rng(8)
+    x = np.where(r.random(60) < 0.15, np.nan, r.normal(size=60))
+    np.testing.assert_allclose(stepped(causal.kalman(0.1, 0.5, 2.0), x), scalar_kalman(x, 0.1, 0.5, 2.0)[0], rtol=1e-12)
+    codes = np.repeat(r.integers(-1, 3, 150), r.integers(1, 5, 150))
+    for needed, hold in ((1, 0), (1, 3), (2, 0), (2, 4), (3, 2)):
+        assert stepped(causal.confirm(needed, hold), codes) == state_confirm(codes, needed, hold).tolist()
+    y, m, v = r.normal(size=40), np.array([-1.0, 0.5, 1.0]), np.array([0.5, 1.0, 0.25])
+    start, move = [0.5, 0.25, 0.25], [[0.8, 0.1, 0.1], [0.2, 0.6, 0.2], [0.1, 0.3, 0.6]]
+    e = -0.5 * (np.log(2 * np.pi * v) + (y[:, None] - m) ** 2 / v)
+    np.testing.assert_allclose(stepped(causal.markov(start, move, m, v, 1), y), filters_of(e[None], start, move)[0, :, 1], rtol=1e-9)
+
+
 def test_windowed_metrics(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.sql("SELECT 'a' AS k, timestamp '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id * 10,0) AS t, double(id) AS v FROM range(12)").coalesce(1).write.parquet(src)

@@ -9,11 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.latent import NORM_FLOOR
+
 Step = Callable[[tuple, float], tuple[tuple, float]]
 
 
@@ -56,6 +59,58 @@ def drawdown() -> tuple[Step, tuple]:
     return step, (float("-inf"),)
 
 
+def kalman(process_variance: float, measurement_variance: float, initial_variance: float) -> tuple[Step, tuple]:
+    """scalar_kalman's estimate; missing observations change nothing and give NaN."""
+
+    def step(state: tuple, x: float) -> tuple[tuple, float]:
+        m, p = state
+        if not math.isfinite(x):
+            return state, float("nan")
+        if math.isnan(m):
+            return (x, p), x
+        p += process_variance
+        gain = p / (p + measurement_variance)
+        m += gain * (x - m)
+        return (m, p * (1.0 - gain)), m
+
+    return step, (float("nan"), initial_variance)
+
+
+def confirm(confirmation: int, min_hold: int) -> tuple[Step, tuple]:
+    """state_confirm over codes: state, candidate, rows held, candidate's run.  A missing code is unknown."""
+
+    def step(state: tuple, x: float) -> tuple[tuple, float]:
+        active, wanted, held, run = state
+        held += active >= 0
+        if not x >= 0:
+            return (active, -1.0, held, 0.0), -1.0
+        if x == active:
+            return (active, -1.0, held, 0.0), active
+        run = run + 1 if x == wanted else 1.0
+        if run < confirmation or (active >= 0 and held <= min_hold):
+            return (active, x, held, run), active
+        return (x, x, 1.0, run) if active < 0 else (x, -1.0, 1.0, 0.0), x
+
+    return step, (-1.0, -1.0, 0.0, 0.0)
+
+
+def markov(initial: list[float], transition: list[list[float]], means: list[float], variances: list[float], report: int) -> tuple[Step, tuple]:
+    """hmm_filter with Gaussian emissions: the probability of state ``report``.  A missing observation moves the states on unseen."""
+    pi, a = np.array(initial, float), np.array(transition, float)
+    m, v = np.array(means, float), np.array(variances, float)
+
+    def step(state: tuple, x: float) -> tuple[tuple, float]:
+        started, p = state[0], np.array(state[1:])
+        p = p @ a if started else p
+        if math.isfinite(x):
+            e = -0.5 * (np.log(2 * math.pi * v) + (x - m) ** 2 / v)
+            p = p * np.exp(e - e.max())
+            p = p / max(p.sum(), NORM_FLOOR)
+        return (1.0, *p.tolist()), float(p[report])
+
+    return step, (0.0, *pi.tolist())
+
+
 def apply_causal(stream: DataFrame, key: str, time: str, value: str, operator: tuple[Step, tuple]) -> DataFrame:
     """key, ts, value, out, dropped: a row for every row that isn't late."""
     step, start = operator
