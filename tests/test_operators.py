@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.operators import kernels as k
 from tidemark.operators import latent, matrix
+from tidemark.operators.groups import in_groups
 
 NAN = float("nan")
 floats = st.lists(st.one_of(st.floats(-100, 100), st.just(NAN)), max_size=30).map(lambda v: np.array(v, float))
@@ -275,3 +277,41 @@ def test_window_lengths_of_shortened_series(spark):
     f = IntervalFrame(spark.createDataFrame([(1, i, v) for i, v in enumerate([1.0, 3.0, 6.0])], "p int, pos long, x double"), ("p",))
     got = evaluate(f, {"n": "length(difference(x))", "s": "sum(difference(x))", "a": "argmax(difference(x))", "k": "sum(recursive_filter(difference(x), 0.5, 0, difference(x) > 0))"}).first()
     assert (got.n, got.s, got.a, got.k) == (2.0, 5.0, 1.0, 1.0 + 2.0)
+
+
+def test_dense_takes_the_groups_of_a_batch_together(spark):
+    """Stacks of matrices of mixed shapes and a null key."""
+    r = np.random.default_rng(5)
+    systems = {k: (lambda m: (m @ m.T + np.eye(len(m)), r.normal(size=len(m))))(r.normal(size=(1 + (k or 0) % 3,) * 2)) for k in [None, *range(400)]}
+    a = spark.createDataFrame([(k, i, j, float(v)) for k, (m, _) in systems.items() for (i, j), v in np.ndenumerate(m)], "k long, i long, j long, v double")
+    b = spark.createDataFrame([(k, i, float(v)) for k, (_, y) in systems.items() for i, v in enumerate(y)], "k long, i long, v double")
+    dense = matrix.Dense(["k"], a=a, b=b).solve("x", "a", "b").cholesky("l", "a").triangular_solve("t", "l", "b").symmetric_eigh("e", "v", "a", 1e-13, 16).run()
+    assert "FlatMapGroups" not in dense._jdf.queryExecution().toString()  # a call a group costs some 1 ms
+    got = {(x.k, x.part, x.i, x.j): x.v for x in dense.collect()}
+    want = {}
+    for k, (m, y) in systems.items():
+        low, (e, v) = np.linalg.cholesky(m), matrix.eigh_of(m)
+        for part, values in (("x", np.linalg.solve(m, y)[:, None]), ("l", low), ("t", np.linalg.solve(low, y)[:, None]), ("e", e[:, None]), ("v", v)):
+            want |= {(k, part, i, j): x for (i, j), x in np.ndenumerate(values)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    stack = np.stack([np.diag([2.0, 4.0]), [[0.0, 1.0], [1.0, 0.0]]])
+    assert np.allclose(matrix.lu_solve(stack, np.ones((2, 2, 1)))[..., 0], [[0.5, 0.25], [1, 1]])
+    with pytest.raises(ValueError, match="SINGULAR_MATRIX"):
+        matrix.lu_solve(np.stack([np.eye(2), np.ones((2, 2))]), np.ones((2, 2, 1)))
+
+
+def test_groups_stay_whole_across_batches(spark):
+    """Small groups, one larger than two batches, and a batch's end inside a group."""
+    import pyarrow as pa
+
+    rows = spark.range(300_000).selectExpr("IF(id < 160000, -1, id % 3000) AS g", "300000 - id AS pos")
+
+    def run(t, starts):
+        n, pos = np.diff(np.append(starts, t.num_rows)), t.column("pos").to_numpy()
+        rising = [bool((np.diff(pos[a : a + c]) > 0).all()) for a, c in zip(starts, n, strict=True)]
+        yield pa.table({"g": t.column("g").take(pa.array(starts)), "n": n, "rising": rising})
+
+    got = in_groups(rows, ["g"], ["pos"], run, "g long, n long, rising boolean").collect()
+    want = {r.g: r.n for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert len(got) == len(want) and {r.g: r.n for r in got} == want and all(r.rising for r in got)
+    assert in_groups(rows.where("g > 5000"), ["g"], ["pos"], run, "g long, n long, rising boolean").count() == 0

@@ -1,8 +1,8 @@
 """Linear algebra on long matrices (i, j, v) and vectors (i, v).
 
 Products, traces and contractions are joins and partial aggregations; covariances sum a partial d x d matrix a task.
-Factorisations need a whole matrix at a time: they run in a grouped Arrow task for each key of ``by``, and ``Dense`` runs
-several of them in one.
+Factorisations need a whole matrix at a time: those of many keys of ``by`` run side by side, as stacks of matrices of one
+shape, and ``Dense`` runs several factorisations in one pass.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.axes import V, _raise_if
+from tidemark.operators.groups import in_groups
 
 PIVOT = 1e-14
 
@@ -143,31 +144,34 @@ def affine_contract(values: DataFrame, coefficients: DataFrame, initial: DataFra
 
 
 def lu_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Gaussian elimination with partial pivoting; a pivot of at most 1e-14 is singular."""
-    m, n = np.hstack([a, b]).astype(float), len(a)
+    """Gaussian elimination with partial pivoting; a pivot of at most 1e-14 is singular.  As the other kernels, of one matrix or a stack of them."""
+    m, n = np.concatenate([a, b], -1).astype(float), a.shape[-1]
     for k in range(n):
-        p = k + int(np.abs(m[k:, k]).argmax())
-        if abs(m[p, k]) <= PIVOT:
+        p = k + np.abs(m[..., k:, k]).argmax(-1)
+        rows = np.broadcast_to(np.arange(n), m.shape[:-1]).copy()
+        np.put_along_axis(rows, p[..., None], k, -1)
+        rows[..., k] = p
+        m = np.take_along_axis(m, rows[..., None], -2)
+        if (np.abs(m[..., k, k]) <= PIVOT).any():
             raise ValueError("SINGULAR_MATRIX")
-        m[[k, p]] = m[[p, k]]
-        m[k + 1 :, k:] -= np.outer(m[k + 1 :, k] / m[k, k], m[k, k:])
-    return back_substitute(m[:, :n], m[:, n:], lower=False)
+        m[..., k + 1 :, k:] -= (m[..., k + 1 :, k] / m[..., k, k, None])[..., None] * m[..., k, None, k:]
+    return back_substitute(m[..., :n], m[..., n:], lower=False)
 
 
 def back_substitute(a: np.ndarray, b: np.ndarray, lower: bool = True, unit: bool = False) -> np.ndarray:
-    n, x = len(a), np.array(b, float)
+    n, x = a.shape[-1], np.array(b, float)
     for k in range(n) if lower else range(n - 1, -1, -1):
         seen = slice(0, k) if lower else slice(k + 1, n)
-        x[k] -= a[k, seen] @ x[seen]
+        x[..., k, :] -= (a[..., k, None, seen] @ x[..., seen, :])[..., 0, :]
         if not unit:
-            if abs(a[k, k]) <= PIVOT:
+            if (np.abs(a[..., k, k]) <= PIVOT).any():
                 raise ValueError("SINGULAR_MATRIX")
-            x[k] /= a[k, k]
+            x[..., k, :] /= a[..., k, k, None]
     return x
 
 
 def cholesky_of(a: np.ndarray) -> np.ndarray:
-    if not np.isfinite(a).all() or not (a == a.T).all():
+    if not np.isfinite(a).all() or not (a == a.swapaxes(-1, -2)).all():
         raise ValueError("DOMAIN_ERROR")
     try:
         return np.linalg.cholesky(a)
@@ -177,49 +181,74 @@ def cholesky_of(a: np.ndarray) -> np.ndarray:
 
 def jacobi(a: np.ndarray, tolerance: float, max_sweeps: int) -> tuple[np.ndarray, np.ndarray]:
     """Cyclic rotations until no element off the diagonal is over ``tolerance`` times the largest of the matrix."""
-    m, v = a.astype(float), np.eye(len(a))
-    scale = np.abs(m).max(initial=0.0)
+    n = a.shape[-1]
+    m = a.astype(float).reshape(-1, n, n)
+    v, scale = np.broadcast_to(np.eye(n), m.shape).copy(), np.abs(m).max((1, 2), initial=0.0)
     for sweep in range(max_sweeps + 1):
-        if np.abs(m - np.diag(np.diag(m))).max(initial=0.0) <= tolerance * scale:
-            return np.diag(m).copy(), v
+        open_ = np.flatnonzero(np.abs(m * (1.0 - np.eye(n))).max((1, 2), initial=0.0) > tolerance * scale)
+        if not len(open_):
+            return np.einsum("gii->gi", m).copy().reshape(a.shape[:-1]), v.reshape(a.shape)
         if sweep == max_sweeps:
             break
-        for p in range(len(m) - 1):
-            for q in range(p + 1, len(m)):
-                if m[p, q] == 0:
-                    continue
-                angle = 0.5 * np.arctan2(2 * m[p, q], m[q, q] - m[p, p])
-                turn = np.array([[np.cos(angle), np.sin(angle)], [-np.sin(angle), np.cos(angle)]])
-                m[:, [p, q]] = m[:, [p, q]] @ turn
-                m[[p, q]] = turn.T @ m[[p, q]]
-                v[:, [p, q]] = v[:, [p, q]] @ turn
+        w, u = m[open_], v[open_]
+        for p in range(n - 1):
+            for q in range(p + 1, n):
+                angle = np.where(w[:, p, q] == 0, 0.0, 0.5 * np.arctan2(2 * w[:, p, q], w[:, q, q] - w[:, p, p]))
+                c, s = np.cos(angle), np.sin(angle)
+                turn = np.stack([c, s, -s, c], -1).reshape(-1, 2, 2)
+                w[:, :, [p, q]] = w[:, :, [p, q]] @ turn
+                w[:, [p, q]] = turn.swapaxes(1, 2) @ w[:, [p, q]]
+                u[:, :, [p, q]] = u[:, :, [p, q]] @ turn
+        m[open_], v[open_] = w, u
     raise ValueError("NON_CONVERGENCE")
 
 
 def eigh_of(a: np.ndarray, tolerance: float | None = None, max_sweeps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ascending eigenvalues; each vector's first component of largest size is positive.  With limits, by rotations that keep to them."""
-    if not np.isfinite(a).all() or not (a == a.T).all():
+    if not np.isfinite(a).all() or not (a == a.swapaxes(-1, -2)).all():
         raise ValueError("DOMAIN_ERROR")
     if tolerance is None and max_sweeps is None:
         w, v = np.linalg.eigh(a)
     else:
         w, v = jacobi(a, 1e-12 if tolerance is None else tolerance, 32 if max_sweeps is None else max_sweeps)
-        order = np.argsort(w, kind="stable")
-        w, v = w[order], v[:, order]
-    at = np.abs(np.round(v, 12)).argmax(0)
-    return w, v * np.where(v[at, np.arange(len(w))] < 0, -1.0, 1.0)
-
-
-def _dense(frame: pa.Table, name: str) -> np.ndarray:
-    part = frame.filter(pc.equal(frame.column("part"), name))
-    i, j = part.column("i").to_numpy(), part.column("j").to_numpy()
-    out = np.zeros((int(i.max(initial=-1)) + 1, int(j.max(initial=-1)) + 1))
-    out[i, j] = part.column(V).to_numpy()
-    return out
+        order = np.argsort(w, -1, kind="stable")
+        w, v = np.take_along_axis(w, order, -1), np.take_along_axis(v, order[..., None, :], -1)
+    if not w.size:
+        return w, v
+    at = np.abs(np.round(v, 12)).argmax(-2)
+    return w, v * np.where(np.take_along_axis(v, at[..., None, :], -2) < 0, -1.0, 1.0)
+
+
+def _stacks(t: pa.Table, group: np.ndarray, groups: int, names: list[str]) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """(groups, the stack of their matrices for each name): those of equal shapes together, of some BLOCK cells or one group at a time."""
+    cells, shapes = {}, np.zeros((groups, 2 * len(names)), np.int64)
+    for k, name in enumerate(names):
+        own = pc.equal(t.column("part"), name)
+        part, g = t.filter(own), group[own.to_numpy().astype(bool)]
+        i, j, v = (part.column(c).to_numpy() for c in ("i", "j", V))
+        np.maximum.at(shapes, (g, 2 * k), i + 1)
+        np.maximum.at(shapes, (g, 2 * k + 1), j + 1)
+        cells[name] = g, i, j, v
+    kinds, kind = np.unique(shapes, axis=0, return_inverse=True)
+    for x, shape in enumerate(kinds):
+        alike = np.flatnonzero(kind.reshape(-1) == x)
+        step = max(1, BLOCK // max(1, int((shape[::2] * shape[1::2]).sum())))
+        for a in range(0, len(alike), step):
+            some = alike[a : a + step]
+            place = np.full(groups, -1)
+            place[some] = np.arange(len(some))
+            env = {}
+            for k, name in enumerate(names):
+                g, i, j, v = cells[name]
+                at = place[g]
+                on = at >= 0
+                env[name] = np.zeros((len(some), int(shape[2 * k]), int(shape[2 * k + 1])))
+                env[name][at[on], i[on], j[on]] = v[on]
+            yield some, env
 
 
 class Dense:
-    """Dense operators on the matrices of each key of ``by``, all in one grouped task.
+    """Dense operators on the matrices of each key of ``by``, all in one pass over the groups.
 
     ``parts`` are long matrices or vectors by name; operators name their inputs and their result, and may use earlier results.
     """
@@ -257,26 +286,28 @@ class Dense:
         """The same on one frame by..., part, i, j, v that holds all parts."""
         by, steps = self.by, list(self.steps)
         key_types = [whole.schema[c] for c in by]
-
-        def kernel(t: pa.Table) -> pa.Table:
-            env: dict[str, np.ndarray] = {}
-            made: dict[str, np.ndarray] = {}
-            for out, run, args in steps:
-                for a in args:
-                    if a not in env:
-                        env[a] = _dense(t, a)
-                got = run(*[env[a] for a in args])
-                for name, m in zip(out, got if isinstance(got, tuple) else (got,), strict=True):
-                    env[name] = made[name] = m.reshape(len(m), -1)
-            at = [np.indices(m.shape).reshape(2, -1) for m in made.values()]
-            cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-            names = [n for n, m in made.items() for _ in range(m.size)]
-            out = {c: pa.array([t.column(c)[0].as_py()] * len(names), t.column(c).type) for c in by}
-            return pa.table(out | {"part": pa.array(names, pa.string()), "i": cat([x[0] for x in at], np.int64), "j": cat([x[1] for x in at], np.int64), V: cat([m.reshape(-1) for m in made.values()], float)})
+        given, known = [], set()  # the parts that steps read; other names are earlier results
+        for out, _, args in steps:
+            given += [a for a in args if a not in known and a not in given]
+            known |= set(out)
+
+        def many(t: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+            if not steps:
+                return
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, t.num_rows)))
+            for some, env in _stacks(t, group, len(starts), given):
+                results: dict[str, np.ndarray] = {}
+                for out, run, args in steps:
+                    got = run(*[env[a] for a in args])
+                    for name, m in zip(out, got if isinstance(got, tuple) else (got,), strict=True):
+                        env[name] = results[name] = m.reshape(*m.shape[:2], -1 if m.size else 1)
+                for name, m in results.items():
+                    g, i, j = np.indices(m.shape).reshape(3, -1)
+                    keys = {c: t.column(c).take(pa.array(starts[some[g]])) for c in by}
+                    yield pa.table(keys | {"part": pa.array([name] * m.size, pa.string()), "i": i.astype(np.int64), "j": j.astype(np.int64), V: m.reshape(-1).astype(float)})
 
         schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in key_types] + ["part string", "i long", "j long", "v double"])
-        grouped = whole.groupBy(*by) if by else whole.withColumn("_one", F.lit(1)).groupBy("_one")
-        return grouped.applyInArrow(kernel, schema)
+        return in_groups(whole if by else whole.withColumn("_one", F.lit(1)), by or ["_one"], ["part"], many, schema)
 
 
 def _part(df: DataFrame, name: str, by: list[str], vector: bool = False) -> DataFrame:
