@@ -3,7 +3,7 @@
 All roots share a hash-consed graph: equal sub-expressions are computed once.  Element-wise nodes stay
 expressions.  Window nodes are added stage by stage, all of one depth in one projection over one partitioning and order.
 Reductions that only feed scalars end in a single groupBy with partial aggregation; those that feed
-series become windows.  Sequential nodes of one depth run in one grouped Arrow task.  Scopes are child plans over
+series become windows.  Sequential nodes of one depth run in one Arrow task, many groups a batch.  Scopes are child plans over
 finer groups of the same rows: their key is added to the partitioning columns, so that they need a sort but no other shuffle.
 
 ``error_policy="raise"`` fails the query where an operator has no value; ``"isolate"`` gives NaN and a
@@ -14,7 +14,7 @@ Statuses follow the data through every dependency, also through branches that ``
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,12 +27,14 @@ from pyspark.sql.types import StructType
 from tidemark.functions.catalog import ALIASES, CATALOG
 from tidemark.functions.reduce import FIT, REDUCTIONS
 from tidemark.functions.scalar import BOOLEAN, ELEMENTWISE, erfc_of_column, finite, nan
+from tidemark.operators.groups import in_groups
 from tidemark.operators.kernels import KERNELS
 from tidemark.plans import numeric
 from tidemark.plans.arrays import ARRAY_OPERATORS, Arrays
 from tidemark.plans.expr import Call, ExpressionError, Name, Node, Number, parse
 from tidemark.plans.expr import names as names_of
 from tidemark.plans.frame import POS, IntervalFrame
+from tidemark.plans.numeric import Groups
 from tidemark.plans.value import ARRAY, RECORD, SCALAR, SERIES, WINDOW, Value, common_drop, deep
 
 STATUS = {"DIVIDE_BY_ZERO": 2, "DOMAIN_ERROR": 3}
@@ -84,7 +86,7 @@ class Plan(Arrays):
         self.parameters, self.memo, self.values = dict(parameters or {}), {}, []
         self.types = dict(frame.data.dtypes)
         self.stages: dict[int, list[tuple[str, Column]]] = {}
-        self.kernels: dict[int, list[tuple[list[str], list[Value], Callable, tuple[str, ...]]]] = {}
+        self.kernels: dict[int, list[tuple[list[str], list[Value], Callable, tuple[str, ...], Callable | None]]] = {}
         self.transforms: dict[int, list[Callable[[DataFrame], DataFrame]]] = {}
         self.children: dict[tuple, Child] = {}
         self.locals: dict[str, Value] = {}
@@ -309,14 +311,15 @@ class Plan(Arrays):
         integer = k.integer
         return self._run_kernel(lambda *a: k.run(*a, *constants), series, k.outputs, integer)
 
-    def _run_kernel(self, run: Callable, series: list[Value], outputs: tuple[str, ...], integer: bool) -> Value:
+    def _run_kernel(self, run: Callable, series: list[Value], outputs: tuple[str, ...], integer: bool, many: Callable | None = None) -> Value:
+        """``run`` of the arrays of each group; ``many``, if there is one, takes all groups of a batch at once."""
         for a in series:
             self._read_series(a)
         level = self._level(series) + 1
         names = [f"_k{len(self.values)}_{o}" for o in outputs]
         self.values.append(None)
         kinds = ("long" if integer else "double",) * len(outputs)
-        self.kernels.setdefault(level, []).append((names, series, run, kinds))
+        self.kernels.setdefault(level, []).append((names, series, run, kinds, many))
         fields = {o: Value(SERIES, F.col(n), level, self._all_status(series, level), parents=tuple(series), dtype=kinds[0], drop=series[0].drop) for o, n in zip(outputs, names, strict=True)}
         return fields[outputs[0]] if len(outputs) == 1 else Value(RECORD, None, level, fields=fields)
 
@@ -861,19 +864,22 @@ class Plan(Arrays):
         single = reduces and not whole  # one unknown for the interval, not one a row
 
         def kernel(*arrays: np.ndarray) -> tuple:
-            n = len(arrays[0])
-            if not n:
+            if not len(arrays[0]):
                 return tuple(np.zeros(0) for _ in outputs)
+            if single:
+                return many(Groups([len(arrays[0])]), *arrays)
             with np.errstate(all="ignore"):
-                if single:
-                    scalars = [a[:1] for a in arrays[:ends]]
-                    own = {k: a if long else a[0] for k, long, a in zip(names, columns, arrays[ends:], strict=True)}
-                    f = lambda x: np.array([numeric.evaluate(tree, own | {unknown: x[0]}, n)], float)
-                    return tuple(np.full(n, np.asarray(r, float)[0]) for r in run(f, *scalars))
                 return tuple(np.asarray(r, float) for r in solve(*[np.asarray(a, float) for a in arrays]))
 
+        def many(groups: Groups, *arrays: np.ndarray) -> tuple:
+            """The unknowns of all groups, solved side by side."""
+            own = {k: (a, True) if long else (a[groups.starts], False) for k, long, a in zip(names, columns, arrays[ends:], strict=True)}
+            with np.errstate(all="ignore"):
+                f = lambda x: np.asarray(numeric.evaluate_groups(tree, own | {unknown: (x, False)}, groups), float)
+                return tuple(np.asarray(r, float)[groups.of] for r in run(f, *[a[groups.starts] for a in arrays[:ends]]))
+
         held = [a if a.kind == SERIES else Value(SERIES, self._read_series(a), a.level, a.status) for a in everything]
-        made = self._run_kernel(kernel, held, outputs, False)
+        made = self._run_kernel(kernel, held, outputs, False, many if single else None)
         return made.fields if len(outputs) > 1 else {outputs[0]: made}
 
     def _as_scalar(self, v: Value) -> Value:
@@ -948,26 +954,30 @@ class Plan(Arrays):
     def _apply_kernels(self, df: DataFrame, calls: list) -> DataFrame:
         inputs = [[(f"_i{i}_{j}", self._read(v)) for j, v in enumerate(c[1])] for i, c in enumerate(calls)]
         wide = df.select("*", *[c.alias(n) for group in inputs for n, c in group])
-        out_names = [(n, k) for names, _, _, kinds in calls for n, k in zip(names, kinds, strict=True)]
+        out_names = [(n, k) for names, _, _, kinds, _ in calls for n, k in zip(names, kinds, strict=True)]
         kept = df.columns
-        runs = [(c[2], [n for n, _ in group], c[0]) for c, group in zip(calls, inputs, strict=True)]
+        runs = [(c[2], [n for n, _ in group], c[0], c[3], c[4]) for c, group in zip(calls, inputs, strict=True)]
 
-        def run(t: pa.Table) -> pa.Table:
-            t = t.sort_by(POS)
+        def run(t: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
             columns = {n: t.column(n) for n in kept}
-            for f, args, names in runs:
-                arrays = [_to_numpy(t.column(a)) for a in args]
-                rows = min((len(a) for a in arrays), default=0)
-                made = f(*[a[:rows] for a in arrays])
-                for n, values in zip(names, made if isinstance(made, tuple) else (made,), strict=True):
-                    pad = pa.nulls(t.num_rows - len(values), pa.from_numpy_dtype(values.dtype))
-                    columns[n] = pa.chunked_array([pa.array(values), pad]) if len(pad) else pa.array(values)
-            return pa.table(columns)
+            bounds = np.append(starts, t.num_rows)
+            for f, args, names, kinds, many in runs:
+                arrays, ends = zip(*[_to_numpy(t.column(a), bounds) for a in args], strict=True)
+                rows = np.min([np.diff(e) for e in ends], axis=0)
+                if many is not None and (rows > 0).all() and all(len(x) == rows.sum() for x in arrays):
+                    made = [(bounds, v) for v in many(Groups(rows), *arrays)]
+                else:
+                    got = [f(*[x[e[g] : e[g] + n] for x, e in zip(arrays, ends, strict=True)]) for g, n in enumerate(rows)]
+                    got = [x if isinstance(x, tuple) else (x,) for x in got]
+                    made = [(np.cumsum([0, *map(len, own)]), np.concatenate(own)) for own in zip(*got, strict=True)]
+                for n, kind, (at, values) in zip(names, kinds, made, strict=True):
+                    columns[n] = _padded(values.astype({"long": np.int64, "double": np.float64}[kind]), at, bounds)
+            yield pa.table(columns)
 
         schema = StructType(list(df.schema.fields))
         for n, k in out_names:
             schema = schema.add(n, k)
-        return wide.groupBy(*self.frame.keys).applyInArrow(run, schema)
+        return in_groups(wide, list(self.frame.keys), [POS], run, schema)
 
     def scalars(self, roots: dict[str, Value]) -> DataFrame:
         """One row an interval."""
@@ -1061,10 +1071,23 @@ def _less(drop: object, k: int) -> object:
     return drop + k if isinstance(drop, int) else (*drop, k) if k else drop
 
 
-def _to_numpy(c: pa.ChunkedArray) -> np.ndarray:
+def _to_numpy(c: pa.ChunkedArray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that exist, and where the groups begin and end among them."""
     c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-    c = c.drop_null() if c.null_count else c  # rows that a shortened series doesn't have are at its end
-    return c.to_numpy(zero_copy_only=False)
+    if c.null_count:  # rows that a shortened series doesn't have are at the end of its group
+        bounds = np.append(0, np.cumsum(c.is_valid().to_numpy(zero_copy_only=False)))[bounds]
+        c = c.drop_null()
+    return c.to_numpy(zero_copy_only=False), bounds
+
+
+def _padded(values: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The groups' values as a column of all rows, with NULL where a group has fewer of them."""
+    if len(values) == bounds[-1]:
+        return pa.array(values)
+    place = np.arange(len(values)) + np.repeat(bounds[:-1] - at[:-1], np.diff(at))
+    out, there = np.zeros(bounds[-1], values.dtype), np.zeros(bounds[-1], bool)
+    out[place], there[place] = values, True
+    return pa.array(out, mask=~there)
 
 
 def evaluate(

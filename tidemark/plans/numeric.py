@@ -127,6 +127,59 @@ def evaluate(tree: Node, env: dict[str, object], rows: int):  # noqa: ANN201
     return REDUCE[name](*wide, *args[1:])
 
 
+class Groups:
+    """Groups of at least one row each that stand one after the other."""
+
+    def __init__(self, sizes: np.ndarray | list[int]) -> None:
+        self.sizes = np.asarray(sizes, np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def added(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.asarray(x, float), self.starts)
+
+
+#: the same reductions of all groups at once; others go group by group
+REDUCE_GROUPS: dict[str, Callable] = {
+    "sum": lambda g, x: g.added(x),
+    "product": lambda g, x: np.multiply.reduceat(np.asarray(x, float), g.starts),
+    "mean": lambda g, x: g.added(x) / g.sizes,
+    "min_value": lambda g, x: np.minimum.reduceat(x, g.starts),
+    "max_value": lambda g, x: np.maximum.reduceat(x, g.starts),
+    "first": lambda g, x: x[g.starts],
+    "last": lambda g, x: x[g.starts + g.sizes - 1],
+    "length": lambda g, x: g.sizes.astype(float),
+    "root_mean_square": lambda g, x: np.sqrt(g.added(np.square(x)) / g.sizes),
+    "dot": lambda g, x, y: g.added(np.multiply(x, y)),
+    "count_true": lambda g, m: g.added(np.not_equal(m, 0)),
+}
+
+
+def evaluate_groups(tree: Node, env: dict[str, tuple[np.ndarray, bool]], groups: Groups):  # noqa: ANN201
+    """A value a group.  Names are arrays, with a mark of whether they have a value a row."""
+
+    def wide(v: object, long: bool) -> np.ndarray:
+        return v if long else np.full(len(groups.of), v) if np.ndim(v) == 0 else v[groups.of]
+
+    def walk(node: Node) -> tuple[object, bool]:
+        if isinstance(node, Number):
+            return node.value, False
+        if isinstance(node, Name):
+            return env[node.name]
+        name = ALIASES.get(node.function, node.function)
+        args = [walk(a) for a in node.args]
+        if name in ELEMENT:
+            long = any(on for _, on in args)
+            return ELEMENT[name](*[v[groups.of] if long and not on and np.ndim(v) else v for v, on in args]), long
+        first, *rest = [wide(*args[0]), *[v if np.ndim(v) == 0 else wide(v, on) for v, on in args[1:]]]
+        if name in REDUCE_GROUPS:
+            return REDUCE_GROUPS[name](groups, first, *rest), False
+        parts = [slice(a, a + n) for a, n in zip(groups.starts, groups.sizes, strict=True)]
+        return np.array([REDUCE[name](first[p], *[r if np.ndim(r) == 0 else r[p] for r in rest]) for p in parts], float), False
+
+    return np.broadcast_to(walk(tree)[0], len(groups.sizes))
+
+
 def bisect(f: Callable, low: np.ndarray, high: np.ndarray, tolerance: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Roots of every element at once, and 0 or the number of the failure: 1 parameters, 2 not finite, 3 not bracketed, 4 not converged."""
     low, high = np.array(low, float), np.array(high, float)
